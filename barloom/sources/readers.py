@@ -18,6 +18,8 @@ from barloom.sources.mapping import apply_mapping
 FORMATS = {".csv": "csv", ".json": "json", ".xml": "xml", ".parquet": "parquet"}
 # Field names of the vendor payload.
 VENDOR_FIELDS = {"1. open": "Open", "2. high": "High", "3. low": "Low", "4. close": "Close", "5. volume": "Volume"}
+VENDOR_SYMBOL = "2. Symbol"
+VENDOR_SERIES = "(?i)time series"
 # How much of an XML file is looked at to find its record element.
 HEAD_BYTES = 1 << 16
 HEAD_LINES = 1000
@@ -161,20 +163,30 @@ def last_days(df: DataFrame, days: int = 365) -> DataFrame:
     return df.filter(F.col("Date") > newest - F.make_dt_interval(F.lit(days)))
 
 
-def read_vendor_payload(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Landed payloads ``{"Time Series (Daily)": {date: {"1. open": "100", ...}}}`` as bars."""
-    series = re.compile(r"time series", re.IGNORECASE)
-    text = spark.read.option("wholetext", True).text(path).withColumn("_stem", F.input_file_name())
-    layers = F.from_json("value", "map<string,string>")
-    days = text.select("_stem", F.explode(layers).alias("_part", "_body")).filter(
-        F.col("_part").rlike("(?i)" + series.pattern)
+def read_vendor_payload(spark: SparkSession, path: str, symbol: str | None = None, lines: bool = False) -> DataFrame:
+    """Landed payloads ``{"Time Series (Daily)": {date: {"1. open": "100", ...}}}`` as bars.
+
+    One payload per file, or per line. The symbol is the given one, the one the payload
+    names, or else the file's name.
+    """
+    text = spark.read.option("wholetext", not lines).text(path)
+    parts = text.select(
+        F.from_json("value", "map<string,string>").alias("_parts"),
+        F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1).alias("_stem"),
     )
-    rows = days.select("_stem", F.explode(F.from_json("_body", "map<string,map<string,string>>")).alias("_when", "_bar"))
-    stem = F.regexp_extract("_stem", r"([^/]+?)\.[^/]*$", 1)
+    about = F.from_json(F.try_element_at("_parts", F.lit("Meta Data")), "map<string,string>")
+    named = F.coalesce(F.lit(symbol).cast("string"), F.try_element_at(about, F.lit(VENDOR_SYMBOL)), F.col("_stem"))
+    days = parts.select(named.alias("Symbol"), F.explode("_parts").alias("_part", "_body")).filter(
+        F.col("_part").rlike(VENDOR_SERIES)
+    )
+    rows = days.select("Symbol", F.explode(F.from_json("_body", "map<string,map<string,string>>")).alias("_when", "_bar"))
     bars = rows.select(
-        (F.lit(symbol) if symbol else stem).alias("Symbol"),
+        "Symbol",
         to_timestamp(F.col("_when")).alias("Date"),
-        *[not_nan(F.col("_bar")[key].try_cast("double")).alias(c) for key, c in VENDOR_FIELDS.items()],
+        *[
+            not_nan(F.try_element_at("_bar", F.lit(key)).try_cast("double")).alias(c)
+            for key, c in VENDOR_FIELDS.items()
+        ],
     )
     return with_defaults(bars.filter(F.col("Date").isNotNull()))
 
