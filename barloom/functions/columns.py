@@ -83,8 +83,12 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ("anomaly_score", "i
     ]
 
 
-def rounded(df: DataFrame, digits: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """Round the double columns, which is how results of two engines are compared."""
+def rounded(df: DataFrame, digits: int, columns: Sequence[str] | None = None, nudge: float = 0.0) -> DataFrame:
+    """Round the double columns, which is how results of two engines are compared.
+
+    Averages of prices in cents can lie exactly between two steps, where the last bit decides;
+    a ``nudge`` far below a step moves them to one side.
+    """
     chosen = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     # adding 0.0 turns a rounded -0.0 into 0.0
-    return df.withColumns({c: F.round(name(c), digits) + F.lit(0.0) for c in chosen})
+    return df.withColumns({c: F.round(name(c) + F.lit(nudge), digits) + F.lit(0.0) for c in chosen})

@@ -242,14 +242,16 @@ def auto_clean(spark, sf_dir):
 
 @query
 def full_pipeline(spark, sf_dir):
-    return shown(process(dirty(spark, sf_dir)), 3, "Symbol", "Date", *OHLCV, *FEATURES)
+    made = process(dirty(spark, sf_dir)).select("Symbol", F.col("Date").cast("date").alias("Date"), *OHLCV, *FEATURES)
+    return rounded(made, 4, nudge=NUDGE)
 
 
 @query
 def pipeline_wide(spark, sf_dir):
     """The longest table of bars: many series of a few thousand rows."""
     columns = ("Close", "Daily_Return", "Volatility_5d", "ATR_5d", "Price_Momentum_5d")
-    return shown(process(wide(spark, sf_dir)), 3, "Symbol", "Date", *columns)
+    made = process(wide(spark, sf_dir)).select("Symbol", F.col("Date").cast("date").alias("Date"), *columns)
+    return rounded(made, 4, nudge=NUDGE)
 
 
 # --- features -----------------------------------------------------------------------
@@ -261,6 +263,7 @@ VOLUME = "Volume_Change Volume_MA5 Volume_MA10 Volume_Ratio_MA5 Price_Volume_Cor
 VOLATILITY = "Volatility_5d Volatility_10d TR ATR_5d".split()
 BANDS = "BB_Middle BB_Std BB_Upper BB_Lower BB_Width".split()
 MACD = "MACD MACD_Signal MACD_Hist".split()
+NUDGE = 0.0000003
 FEATURES = [*PRICE, *VOLUME, *VOLATILITY, "RSI", *MACD, *BANDS]
 
 
@@ -327,7 +330,7 @@ def tick_interpolated(spark, sf_dir):
 
 @query
 def tick_iqr_cap(spark, sf_dir):
-    return shown_at(merge_blocks(cleaning.cap_outliers(ticks(spark, sf_dir))))
+    return shown_at(merge_blocks(cleaning.cap_outliers(ticks(spark, sf_dir))), 6)
 
 
 # --- profile ------------------------------------------------------------------------

@@ -83,6 +83,12 @@ def rounded(columns: dict[str, str] | list[str], digits: int = 4) -> str:
     return ", ".join(f'round({value}, {digits}) + 0.0 AS "{out}"' for out, value in items)
 
 
+def nudged(columns: list[str] | dict[str, str], digits: int = 4) -> str:
+    """Rounded, with what lies exactly between two steps moved to one side."""
+    items = columns if isinstance(columns, dict) else {c: c for c in columns}
+    return rounded({out: f"({value}) + 0.0000003" for out, value in items.items()}, digits)
+
+
 def named(columns: dict[str, str]) -> str:
     return ", ".join(f'{value} AS "{out}"' for out, value in columns.items())
 
@@ -285,11 +291,11 @@ def complete(columns: list[str]) -> str:
 
 EARLY = [*COLUMNS, *PRICE, *VOLUME, "TR", *VOLATILITY, "RSI", *BANDS]
 ORACLE["full_pipeline"] = f"""WITH RECURSIVE {DEDUPED}, {pipeline('deduped')}, {recursion('clean')}
-SELECT Symbol, Date, {rounded(EARLY, 3)}, {rounded(MACD, 3)}
+SELECT Symbol, Date, {nudged(EARLY)}, {nudged(MACD)}
 FROM stage3 JOIN (SELECT Symbol, Date, fast, slow, signal FROM averages) USING (Symbol, Date)
 WHERE {complete(EARLY)}"""
 ORACLE["pipeline_wide"] = f"""WITH {WIDE}, {pipeline('wide')}
-SELECT Symbol, Date, {rounded(['Close', 'Daily_Return', 'Volatility_5d', 'ATR_5d', 'Price_Momentum_5d'], 3)}
+SELECT Symbol, Date, {nudged(['Close', 'Daily_Return', 'Volatility_5d', 'ATR_5d', 'Price_Momentum_5d'])}
 FROM stage3 WHERE {complete(EARLY)}"""
 
 TICK = {k: PRICE[k] for k in ("Daily_Return", "MA5", "MA20", "Price_Momentum_5d")}
@@ -299,7 +305,7 @@ ORACLE["tick_interpolated"] = f"""WITH {TICKS}, numbered AS (SELECT *, row_numbe
 SELECT Symbol, {TIME} AS Date, {rounded({'Close': line('Close')})} FROM numbered"""
 ORACLE["tick_iqr_cap"] = f"""WITH {TICKS}, quarters AS (
   SELECT Symbol, quantile_cont(Close, 0.25) AS a_Close, quantile_cont(Close, 0.75) AS b_Close FROM ticks GROUP BY 1)
-SELECT Symbol, {TIME} AS Date, {rounded({'Close': capped('Close')})} FROM ticks JOIN quarters USING (Symbol)"""
+SELECT Symbol, {TIME} AS Date, {rounded({'Close': capped('Close')}, 6)} FROM ticks JOIN quarters USING (Symbol)"""
 
 # --- profile ------------------------------------------------------------------------
 
@@ -431,9 +437,9 @@ SELECT (SELECT count(*) FROM gaps) AS n_anomalies,
        (SELECT count(*) FROM gaps WHERE gap < 3) AS gaps_under_3_days,
        (SELECT max(n) FROM (SELECT count(*) AS n FROM runs GROUP BY run)) AS longest_run"""
 ORACLE["price_position"] = f"""WITH {SCORED},
-q AS (SELECT quantile_cont(Close, 0.9) AS high, quantile_cont(Close, 0.25) AS low FROM scored)
-SELECT round(count(*) FILTER (Close > high) * 100.0 / count(*), 6) AS high_price_pct,
-       round(count(*) FILTER (Close < low) * 100.0 / count(*), 6) AS low_price_pct
+q AS (SELECT quantile_cont(Close, 0.9) AS p90, quantile_cont(Close, 0.25) AS p25 FROM scored)
+SELECT round(count(*) FILTER (Close > p90) * 100.0 / count(*), 6) AS high_price_pct,
+       round(count(*) FILTER (Close < p25) * 100.0 / count(*), 6) AS low_price_pct
 FROM scored, q WHERE is_anomaly = 1"""
 
 
