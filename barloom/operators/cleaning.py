@@ -14,7 +14,7 @@ from barloom.operators.layout import (
     is_split,
     lay_out,
     series_fit,
-    series_window,
+    series_keys,
     with_position,
 )
 from barloom.operators.quantiles import exact_quantiles
@@ -63,21 +63,10 @@ def fill(df: DataFrame, columns: Sequence[str] | None = None, method: str = "ffi
         df = with_position(df)
     if is_split(df):
         df = with_neighbour_blocks(df, columns, interpolate)
-    w = series_window(df)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
-
-    def nearest(column: str, forward: bool, value: Column) -> Column:
-        span, pick, side = (upto, F.last, "_prev_") if forward else (onward, F.first, "_next_")
-        inside = pick(value, ignorenulls=True).over(span)
-        return F.coalesce(inside, F.col(side + column)) if is_split(df) else inside
-
-    def place(column: str) -> Column:
-        return F.when(F.col(column).isNotNull(), F.col("_pos"))
 
     found = {}
     for c in columns:
-        before, after = nearest(c, True, F.col(c)), nearest(c, False, F.col(c))
+        before, after = nearest(df, c, True), nearest(df, c, False)
         if method == "pad":
             found[c] = before
         elif method == "back":
@@ -87,23 +76,25 @@ def fill(df: DataFrame, columns: Sequence[str] | None = None, method: str = "ffi
         elif method == "ffill":
             found[c] = F.coalesce(before, after)
         else:
-            start, end = nearest_place(c, True, place(c), df), nearest_place(c, False, place(c), df)
+            start, end = nearest(df, c, True, True), nearest(df, c, False, True)
             line = before + (after - before) * F.try_divide(F.col("_pos") - start, end - start)
             found[c] = F.coalesce(F.col(c), line, before, after)
     spare = [c for c in df.columns if c.startswith(("_prev_", "_next_", "_prevpos_", "_nextpos_"))]
     return df.withColumns(found).drop("_pos", *spare)
 
 
-def nearest_place(column: str, forward: bool, place: Column, df: DataFrame) -> Column:
-    """Position of the nearest valid row, from the block or else from the ones around it."""
-    w = series_window(df)
-    if forward:
-        inside = F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        outside = "_prevpos_" + column
-    else:
-        inside = F.first(place, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        outside = "_nextpos_" + column
-    return F.coalesce(inside, F.col(outside)) if is_split(df) else inside
+def nearest(df: DataFrame, column: str, backward: bool, position: bool = False) -> Column:
+    """The nearest valid value (or its position) at or before, or at or after, each row.
+
+    ``lag`` and ``lead`` that skip nulls walk the series once; an aggregate up to the end of
+    the series would start again at every row.
+    """
+    value = f"CASE WHEN `{column}` IS NOT NULL THEN _pos END" if position else f"`{column}`"
+    over = f"OVER (PARTITION BY {', '.join(series_keys(df))} ORDER BY Date)"
+    step, side = ("lag", "_prev") if backward else ("lead", "_next")
+    found = F.coalesce(F.expr(value), F.expr(f"{step}({value}, 1) IGNORE NULLS {over}"))
+    outside = f"{side}{'pos' if position else ''}_{column}"
+    return F.coalesce(found, F.col(outside)) if is_split(df) else found
 
 
 def with_neighbour_blocks(df: DataFrame, columns: Sequence[str], positions: bool) -> DataFrame:
@@ -183,7 +174,7 @@ def clean(df: DataFrame, method: str = "ffill", cap: bool = True) -> DataFrame:
     While every Symbol fits a task the leading exchange on Symbol serves all steps;
     otherwise copies go first and the rest runs on blocks.
     """
-    if series_fit(df):
+    if series_fit(df, trusted=False):
         df = dedupe_first(df.repartition("Symbol"))
     else:
         df = lay_out(dedupe_first(df))

@@ -1,8 +1,8 @@
 """Indicator columns per Symbol: price, volume, volatility, technical, calendar.
 
 All windows count rows. Every function is ``op(df, ...) -> DataFrame`` and keeps the input
-columns. The ``*_step`` functions do the work on a window the layout hands them, so
-``engineer`` shares one exchange and one copy of history between all groups.
+columns. The ``*_columns`` functions only write expressions over a window that the layout
+hands them, so ``engineer`` evaluates all groups on one exchange and few passes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def needs(df: DataFrame, *columns: str) -> bool:
     return all(c in df.columns for c in columns)
 
 
-def price_step(df: DataFrame, w: WindowSpec) -> DataFrame:
+def price_columns(df: DataFrame, w: WindowSpec) -> dict[str, Column]:
     close, before = F.col("Close"), F.lag("Close").over(w)
     new = {
         "Daily_Return": ratio_change(close, before),
@@ -38,54 +38,71 @@ def price_step(df: DataFrame, w: WindowSpec) -> DataFrame:
     if needs(df, "High", "Low"):
         new["HL_Range"] = F.col("High") - F.col("Low")
         new["HL_Range_Pct"] = F.try_divide(F.col("High") - F.col("Low"), close)
-    return df.withColumns(new)
+    return new
 
 
-def volume_step(df: DataFrame, w: WindowSpec) -> DataFrame:
+def volume_columns(w: WindowSpec) -> dict[str, Column]:
     volume = F.col("Volume")
     means = {n: rolling_mean(volume, trailing(w, n), n) for n in (5, 10)}
-    return df.withColumns(
-        {
-            "Volume_Change": ratio_change(volume, F.lag("Volume").over(w)),
-            **{f"Volume_MA{n}": mean for n, mean in means.items()},
-            "Volume_Ratio_MA5": F.try_divide(volume, means[5]),
-            "Price_Volume_Corr": rolling_correlation(F.col("Close"), volume, trailing(w, 5), 5),
-        }
-    )
+    return {
+        "Volume_Change": ratio_change(volume, F.lag("Volume").over(w)),
+        **{f"Volume_MA{n}": mean for n, mean in means.items()},
+        "Volume_Ratio_MA5": F.try_divide(volume, means[5]),
+        "Price_Volume_Corr": rolling_correlation(F.col("Close"), volume, trailing(w, 5), 5),
+    }
 
 
-def volatility_step(df: DataFrame, w: WindowSpec) -> DataFrame:
-    if not needs(df, "Daily_Return"):
-        df = df.withColumn("Daily_Return", ratio_change(F.col("Close"), F.lag("Close").over(w)))
-    returns = F.col("Daily_Return")
-    df = df.withColumns({f"Volatility_{n}d": rolling_std(returns, trailing(w, n), n) for n in (5, 10)})
+def range_columns(df: DataFrame, w: WindowSpec) -> dict[str, Column]:
+    """True range, null on the first row of a series: greatest() alone would skip the null."""
     if not needs(df, "High", "Low"):
-        return df
+        return {}
     high, low, before = F.col("High"), F.col("Low"), F.lag("Close").over(w)
-    # greatest() skips nulls, so the first row of a series needs the guard
     reach = F.greatest(high - low, F.abs(high - before), F.abs(low - before))
-    df = df.withColumn("TR", F.when(before.isNotNull() & high.isNotNull() & low.isNotNull(), reach))
-    return df.withColumn("ATR_5d", rolling_mean(F.col("TR"), trailing(w, 5), 5))
+    return {"TR": F.when(before.isNotNull() & high.isNotNull() & low.isNotNull(), reach)}
+
+
+def volatility_columns(df: DataFrame, w: WindowSpec) -> dict[str, Column]:
+    """Of columns made before: Daily_Return and, where there is one, TR."""
+    new = {f"Volatility_{n}d": rolling_std(F.col("Daily_Return"), trailing(w, n), n) for n in (5, 10)}
+    if needs(df, "TR"):
+        new["ATR_5d"] = rolling_mean(F.col("TR"), trailing(w, 5), 5)
+    return new
+
+
+def delta_column(w: WindowSpec) -> dict[str, Column]:
+    """Change of the close; the first of a series counts as 0."""
+    return {"_delta": F.coalesce(F.col("Close") - F.lag("Close").over(w), F.lit(0.0))}
 
 
-def rsi_step(df: DataFrame, w: WindowSpec, rows: int = 14) -> DataFrame:
-    """Relative strength from simple means; the first change of a series counts as 0."""
-    df = df.withColumn("_delta", F.coalesce(F.col("Close") - F.lag("Close").over(w), F.lit(0.0)))
-    gain = rolling_mean(F.greatest(F.col("_delta"), F.lit(0.0)), trailing(w, rows), rows)
-    loss = rolling_mean(F.greatest(-F.col("_delta"), F.lit(0.0)), trailing(w, rows), rows)
-    df = df.withColumns({"_gain": gain, "_loss": loss})
+def strength_columns(w: WindowSpec, rows: int) -> dict[str, Column]:
+    zero, delta = F.lit(0.0), F.col("_delta")
+    return {
+        "_gain": rolling_mean(F.greatest(delta, zero), trailing(w, rows), rows),
+        "_loss": rolling_mean(F.greatest(-delta, zero), trailing(w, rows), rows),
+    }
+
+
+def with_rsi(df: DataFrame) -> DataFrame:
     value = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0).otherwise(
         100 - 100 / (1 + F.try_divide("_gain", "_loss"))
     )
     return df.withColumn("RSI", value).drop("_delta", "_gain", "_loss")
 
 
-def bollinger_step(df: DataFrame, w: WindowSpec, rows: int = 20) -> DataFrame:
+def band_columns(w: WindowSpec, rows: int) -> dict[str, Column]:
     close, span = F.col("Close"), trailing(w, rows)
-    df = df.withColumns({"BB_Middle": rolling_mean(close, span, rows), "BB_Std": rolling_std(close, span, rows)})
+    return {"BB_Middle": rolling_mean(close, span, rows), "BB_Std": rolling_std(close, span, rows)}
+
+
+def with_bands(df: DataFrame) -> DataFrame:
     middle, deviation = F.col("BB_Middle"), F.col("BB_Std")
-    df = df.withColumns({"BB_Upper": middle + 2 * deviation, "BB_Lower": middle - 2 * deviation})
-    return df.withColumn("BB_Width", F.try_divide(F.col("BB_Upper") - F.col("BB_Lower"), middle))
+    return df.withColumns(
+        {
+            "BB_Upper": middle + 2 * deviation,
+            "BB_Lower": middle - 2 * deviation,
+            "BB_Width": F.try_divide((middle + 2 * deviation) - (middle - 2 * deviation), middle),
+        }
+    )
 
 
 def decay(span: int) -> float:
@@ -136,17 +153,16 @@ def blend(df: DataFrame, averages: dict[str, tuple[str, int]], reach: int) -> Da
 SLOTS = ("_at", "_chunk", "_slot")
 
 
-def ema_step(df: DataFrame, w: WindowSpec, column: str, span: int, out: str) -> DataFrame:
-    reach = ema_reach(span)
-    return blend(with_slots(df, w, reach), {out: (column, span)}, reach).drop(*SLOTS)
+def slot_window(df: DataFrame) -> WindowSpec:
+    """A series in the order the averages need, which is also its order by date."""
+    return Window.partitionBy(*series_keys(df)).orderBy("_chunk", "_at")
 
 
-def macd_step(df: DataFrame, w: WindowSpec) -> DataFrame:
-    reach = ema_reach(26)
-    df = blend(with_slots(df, w, reach), {"_ema12": ("Close", 12), "_ema26": ("Close", 26)}, reach)
+def with_macd(df: DataFrame, reach: int) -> DataFrame:
+    df = blend(df, {"_ema12": ("Close", 12), "_ema26": ("Close", 26)}, reach)
     df = df.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
     df = blend(df, {"MACD_Signal": ("MACD", 9)}, reach)
-    return df.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal")).drop("_ema12", "_ema26", *SLOTS)
+    return df.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal")).drop("_ema12", "_ema26")
 
 
 MACD_REACH = ema_reach(26) + ema_reach(9)
@@ -154,38 +170,56 @@ MACD_REACH = ema_reach(26) + ema_reach(9)
 
 def price_features(df: DataFrame) -> DataFrame:
     """Returns, moving averages, momentum, gap and range."""
-    return over_series(df, LONGEST_WINDOW, price_step)
+    return over_series(df, LONGEST_WINDOW, lambda d, w: d.withColumns(price_columns(d, w)))
 
 
 def volume_features(df: DataFrame) -> DataFrame:
     """Volume change, averages and its correlation with price; nothing without Volume."""
-    return over_series(df, LONGEST_WINDOW, volume_step) if needs(df, "Volume") else df
+    if not needs(df, "Volume"):
+        return df
+    return over_series(df, LONGEST_WINDOW, lambda d, w: d.withColumns(volume_columns(w)))
 
 
 def volatility_features(df: DataFrame) -> DataFrame:
     """Return deviation, true range and its average."""
-    return over_series(df, LONGEST_WINDOW, volatility_step)
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumns({"Daily_Return": price_columns(d, w)["Daily_Return"], **range_columns(d, w)})
+        return d.withColumns(volatility_columns(d, w))
+
+    return over_series(df, LONGEST_WINDOW, build)
 
 
 def rsi(df: DataFrame, rows: int = 14) -> DataFrame:
-    return over_series(df, rows + 1, lambda d, w: rsi_step(d, w, rows))
+    """Relative strength from simple means of gains and losses."""
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return with_rsi(d.withColumns(delta_column(w)).withColumns(strength_columns(w, rows)))
+
+    return over_series(df, rows + 1, build)
 
 
 def bollinger(df: DataFrame, rows: int = 20) -> DataFrame:
-    return over_series(df, rows, lambda d, w: bollinger_step(d, w, rows))
+    return over_series(df, rows, lambda d, w: with_bands(d.withColumns(band_columns(w, rows))))
 
 
 def ema(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
-    return over_series(df, ema_reach(span), lambda d, w: ema_step(d, w, column, span, out))
+    reach = ema_reach(span)
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return blend(with_slots(d, w, reach), {out: (column, span)}, reach).drop(*SLOTS)
+
+    return over_series(df, reach, build)
 
 
 def macd(df: DataFrame) -> DataFrame:
-    return over_series(df, MACD_REACH, macd_step)
+    reach = ema_reach(26)
+    return over_series(df, MACD_REACH, lambda d, w: with_macd(with_slots(d, w, reach), reach).drop(*SLOTS))
 
 
 def technical_features(df: DataFrame) -> DataFrame:
     """RSI, MACD and Bollinger bands."""
-    return over_series(df, MACD_REACH, lambda d, w: macd_step(bollinger_step(rsi_step(d, w), w), w))
+    return bollinger(rsi(macd(df)))
 
 
 def date_features(df: DataFrame) -> DataFrame:
@@ -233,11 +267,23 @@ def engineer(df: DataFrame, drop_incomplete: bool = True) -> DataFrame:
     """
     with_volume = needs(df, "Volume") and not df.filter(F.col("Volume").isNotNull()).isEmpty()
 
+    reach = ema_reach(26)
+
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = price_step(d, w)
-        if with_volume:
-            d = volume_step(d, w)
-        return macd_step(bollinger_step(rsi_step(volatility_step(d, w), w), w), w)
+        # narrow rows are sorted once for the averages; every other window takes that order
+        d = with_slots(d, w, reach)
+        w = slot_window(d)
+        d = d.withColumns(
+            {
+                **price_columns(d, w),
+                **(volume_columns(w) if with_volume else {}),
+                **range_columns(d, w),
+                **delta_column(w),
+                **band_columns(w, 20),
+            }
+        )
+        d = d.withColumns({**volatility_columns(d, w), **strength_columns(w, 14)})
+        return with_bands(with_rsi(with_macd(d, reach))).drop(*SLOTS)
 
     featured = over_series(df, MACD_REACH + LONGEST_WINDOW, build)
     return drop_missing(featured, ignore=[] if with_volume else ["Volume"]) if drop_incomplete else featured

@@ -63,9 +63,12 @@ def bounded_by_interval(df: DataFrame) -> bool:
     return fields["Date"].metadata.get(BAR_SECONDS, 0) >= HOUR and max_rows(df.sparkSession) >= MAX_ROWS
 
 
-def series_fit(df: DataFrame) -> bool:
-    """Whether every Symbol fits one task, by proof or else by counting."""
-    if is_split(df) or bounded_by_interval(df):
+def series_fit(df: DataFrame, trusted: bool = True) -> bool:
+    """Whether every Symbol fits one task, by proof or else by counting.
+
+    Not ``trusted`` means that rows may repeat, so the interval proves nothing.
+    """
+    if is_split(df) or (trusted and bounded_by_interval(df)):
         return True
     longest = df.groupBy("Symbol").count().agg(F.max("count")).first()[0] or 0
     return longest <= max_rows(df.sparkSession)
