@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.detectors.base import RAW, Detector
@@ -14,6 +14,7 @@ from barloom.session import cut_lineage
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 MOST_NODES = 20_000_000
+TOLERANCE = 1e-12
 
 
 def expected_path(n: float) -> float:
@@ -130,6 +131,10 @@ class IsolationForest(Detector):
         scored = cut_lineage(self.raw_scores(df).select(RAW))
         self.note_training_scores(scored, self.params["contamination"], 0.5)
 
+    def is_flagged(self, raw: Column) -> Column:
+        """Averaging equal path lengths must not lift a row over the cut by a last bit."""
+        return raw > F.lit(float(self.state["threshold"]) + TOLERANCE)
+
     def pool(self, df: DataFrame, size: int, wanted: int, seed: int) -> DataFrame:
         """The rows with the smallest hashes, of which the trees draw theirs."""
         key = ["Symbol", "Date"] if {"Symbol", "Date"} <= set(df.columns) else [c for c in ["_row"] if c in df.columns]

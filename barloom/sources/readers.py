@@ -169,7 +169,7 @@ def read_vendor_payload(spark: SparkSession, path: str, symbol: str | None = Non
     One payload per file, or per line. The symbol is the given one, the one the payload
     names, or else the file's name.
     """
-    text = spark.read.option("wholetext", not lines).text(path)
+    text = spark.read.text(path, wholetext=not lines)
     parts = text.select(
         F.from_json("value", "map<string,string>").alias("_parts"),
         F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1).alias("_stem"),
