@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,22 @@ def to_number(column: Column) -> Column:
     return not_nan(text.try_cast("double"))
 
 
+# What the letters of a date format stand for in text.
+SHAPES = {"yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", "'T'": "T", **dict.fromkeys(("MM", "dd", "HH", "mm", "ss"), "[0-9]{2}")}
+
+
+def shape(date_format: str) -> str:
+    """A pattern for the texts a date format can parse."""
+    return "^" + re.sub("|".join(SHAPES), lambda m: SHAPES[m.group()], date_format) + "$"
+
+
 def to_timestamp(column: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that parses wins; nothing parses means null."""
+    """The first format that parses wins; nothing parses means null.
+
+    A failed parse costs an exception, so a format is tried only on text of its shape.
+    """
     text = F.trim(column.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def ratio_change(now: Column, before: Column) -> Column:

@@ -13,11 +13,14 @@ from barloom.operators.layout import (
     block_summary,
     is_split,
     lay_out,
+    note_fit,
     series_fit,
     series_keys,
+    split,
     with_position,
 )
 from barloom.operators.quantiles import exact_quantiles
+from barloom.session import cut_lineage
 
 # The columns fills and caps apply to.
 VALUE_COLUMNS = ("Open", "High", "Low", "Close", "Adj_Close", "Volume")
@@ -168,18 +171,21 @@ def cap_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     return df.withColumns({c: clipped(c) for c in columns}).drop(*["_q_" + c for c in columns])
 
 
-def clean(df: DataFrame, method: str = "ffill", cap: bool = True) -> DataFrame:
+def clean(df: DataFrame, method: str = "ffill", cap: bool = True, fits: bool | None = None) -> DataFrame:
     """De-duplicate, fill and cap.
 
-    While every Symbol fits a task the leading exchange on Symbol serves all steps;
-    otherwise copies go first and the rest runs on blocks.
+    While every Symbol fits a task (``fits``, counted unless given) the leading exchange on
+    Symbol serves all steps. Otherwise copies go first and the rest runs on blocks; each step
+    is then stored, as the next one reads it more than once.
     """
-    if series_fit(df, trusted=False):
-        df = dedupe_first(df.repartition("Symbol"))
-    else:
-        df = lay_out(dedupe_first(df))
-    filled = fill(df, value_columns(df), method)
-    return cap_outliers(filled) if cap else filled
+    if fits is None:
+        fits = series_fit(df, trusted=False)
+    if fits:
+        filled = fill(note_fit(dedupe_first(df.repartition("Symbol"))), value_columns(df), method)
+        return cap_outliers(filled) if cap else filled
+    blocks = split(cut_lineage(dedupe_first(df)))
+    filled = cut_lineage(fill(blocks, value_columns(df), method))
+    return cut_lineage(cap_outliers(filled)) if cap else filled
 
 
 def auto_clean(df: DataFrame) -> DataFrame:

@@ -259,13 +259,14 @@ def evaluation_features(df: DataFrame) -> DataFrame:
     return filled.na.fill(0.0)
 
 
-def engineer(df: DataFrame, drop_incomplete: bool = True) -> DataFrame:
+def engineer(df: DataFrame, drop_incomplete: bool = True, with_volume: bool | None = None) -> DataFrame:
     """All indicator groups on one exchange, then only complete rows.
 
-    Groups whose inputs are missing are left out. Volume counts as missing when it is
-    null throughout, so that it does not empty the table.
+    Groups whose inputs are missing are left out. Volume counts as missing when it is null
+    throughout (``with_volume``, looked up unless given), so that it does not empty the table.
     """
-    with_volume = needs(df, "Volume") and not df.filter(F.col("Volume").isNotNull()).isEmpty()
+    if with_volume is None:
+        with_volume = needs(df, "Volume") and not df.filter(F.col("Volume").isNotNull()).isEmpty()
 
     reach = ema_reach(26)
 

@@ -28,6 +28,7 @@ BLOCK = "_block"
 MAX_ROWS_CONF = "spark.barloom.maxSeriesRows"
 MAX_ROWS = 1_000_000
 BAR_SECONDS = "bar_seconds"
+FITS = "series_rows_at_most"
 HOUR = 3600
 
 
@@ -53,14 +54,20 @@ def trailing(window: WindowSpec, rows: int) -> WindowSpec:
     return window.rowsBetween(-(rows - 1), 0)
 
 
-def bounded_by_interval(df: DataFrame) -> bool:
-    """Bars of an hour or more: a century per Symbol is under a million rows.
+def known_to_fit(df: DataFrame) -> bool:
+    """Bars of an hour or more (a century per Symbol is under a million rows), or counted before.
 
     ``to_bars`` notes its interval on the Date column, and one bar per Symbol and
     interval is what its grouping guarantees.
     """
-    fields = {f.name: f for f in df.schema.fields}
-    return fields["Date"].metadata.get(BAR_SECONDS, 0) >= HOUR and max_rows(df.sparkSession) >= MAX_ROWS
+    known, limit = df.schema["Date"].metadata, max_rows(df.sparkSession)
+    return known.get(FITS, limit + 1) <= limit or (known.get(BAR_SECONDS, 0) >= HOUR and limit >= MAX_ROWS)
+
+
+def note_fit(df: DataFrame) -> DataFrame:
+    """Record on Date that the series were counted and fit a task, for the steps that follow."""
+    known = df.schema["Date"].metadata
+    return df.withMetadata("Date", {**known, FITS: max_rows(df.sparkSession)})
 
 
 def series_fit(df: DataFrame, trusted: bool = True) -> bool:
@@ -68,7 +75,7 @@ def series_fit(df: DataFrame, trusted: bool = True) -> bool:
 
     Not ``trusted`` means that rows may repeat, so the interval proves nothing.
     """
-    if is_split(df) or (trusted and bounded_by_interval(df)):
+    if is_split(df) or (trusted and known_to_fit(df)):
         return True
     longest = df.groupBy("Symbol").count().agg(F.max("count")).first()[0] or 0
     return longest <= max_rows(df.sparkSession)
@@ -82,6 +89,13 @@ def lay_out(df: DataFrame) -> DataFrame:
     """
     if series_fit(df):
         return df
+    return split(df)
+
+
+def split(df: DataFrame) -> DataFrame:
+    """Range-split a table whose series do not fit, unless it is split already."""
+    if is_split(df):
+        return df
     blocks = max(2, math.ceil(df.count() / max_rows(df.sparkSession)))
     ranged = df.repartitionByRange(blocks, "Symbol", "Date").withColumn(BLOCK, F.spark_partition_id())
     return cut_lineage(ranged)

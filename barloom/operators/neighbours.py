@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from barloom.session import cut_lineage
 
 LEAF_ROWS = 1024
-MOST_LEAVES = 1 << 16
+MOST_LEAVES = 1 << 14
 SAMPLE_PER_LEAF = 32
 PORTION_ROWS = 4096
 NEAR = "array<struct<d2:double,id:bigint,w:bigint>>"

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.functions.columns import name, numeric_columns
 from barloom.operators.quantiles import exact_quantiles
@@ -133,15 +132,15 @@ def plot_series(df: DataFrame, value: str = "Close", by: str | None = None) -> D
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of all column pairs in one pass; null where a side is constant."""
     columns = list(columns or numeric_columns(df))
-    rows = []
-    for x, y in itertools.product(columns, repeat=2):
+    values, rows = {}, []
+    for x, y in itertools.combinations_with_replacement(columns, 2):
         both = name(x).isNotNull() & name(y).isNotNull()
         a, b = F.when(both, name(x).cast("double")), F.when(both, name(y).cast("double"))
         varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-        value = F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
-        rows.append({"x": F.lit(x), "y": F.lit(y), "correlation": value})
-    return stacked(df, rows)
+        measured = F.lit(1.0) if x == y else F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        values[f"{x}|{y}"] = F.when(varies, measured)
+        rows += [(x, y, f"{x}|{y}")] if x == y else [(x, y, f"{x}|{y}"), (y, x, f"{x}|{y}")]
+    once = df.agg(*[value.alias(pair) for pair, value in values.items()])
+    cells = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), name(pair).alias("correlation")) for x, y, pair in rows]
+    return once.select(F.inline(F.array(*cells)))
 
-
-def has_numbers(df: DataFrame) -> bool:
-    return any(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)

@@ -37,7 +37,8 @@ def exact_quantiles(
     values = long_values(df, columns, keys)
     group = [*keys, "column"]
     limit = max_rows(df.sparkSession)
-    largest = values.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    counts = df.groupBy(*keys).agg(*[F.count(not_nan(name(c))).alias(f"_{i}") for i, c in enumerate(columns)])
+    largest = counts.agg(F.max(F.greatest(*[f"_{i}" for i in range(len(columns))], F.lit(0)))).first()[0] or 0
     if largest <= limit:
         return within_tasks(values, group, probabilities)
     sizes = cut_lineage(values.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))

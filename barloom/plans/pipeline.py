@@ -11,15 +11,20 @@ from barloom.functions.columns import numeric_columns
 from barloom.operators.cleaning import auto_clean, clean
 from barloom.operators.evaluate import metrics, synthetic_labels, with_split
 from barloom.operators.features import drop_missing, engineer, evaluation_features
-from barloom.operators.layout import merge_blocks
+from barloom.operators.layout import max_rows, merge_blocks
 from barloom.session import cut_lineage
 from barloom.sources.readers import load_bars
 
 
 def process(df: DataFrame, method: str = "ffill", engineer_features: bool = True) -> DataFrame:
-    """Canonical bars to a feature table."""
-    cleaned = clean(df, method)
-    return merge_blocks(engineer(cleaned) if engineer_features else cleaned)
+    """Canonical bars to a feature table. One pass first says how the series are to be laid out."""
+    volume = F.count("Volume") if "Volume" in df.columns else F.lit(0)
+    per_symbol = df.groupBy("Symbol").agg(F.count(F.lit(1)).alias("rows"), volume.alias("volumes"))
+    longest, volumes = per_symbol.agg(F.max("rows"), F.sum("volumes")).first()
+    cleaned = clean(df, method, fits=(longest or 0) <= max_rows(df.sparkSession))
+    if engineer_features:
+        cleaned = engineer(cleaned, with_volume=bool(volumes))
+    return merge_blocks(cleaned)
 
 
 def analyze(

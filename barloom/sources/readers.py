@@ -145,7 +145,8 @@ def union_symbols(*frames: DataFrame) -> DataFrame:
     combined = frames[0]
     for frame in frames[1:]:
         combined = combined.unionByName(frame, allowMissingColumns=True)
-    return combined
+    # what was known about the length of the parts does not hold for the whole
+    return combined.withMetadata("Date", {}) if "Date" in combined.columns else combined
 
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
