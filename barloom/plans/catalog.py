@@ -480,6 +480,14 @@ def recon_pca(spark, sf_dir):
     return with_new(detector.predict(bars), "anomaly_score", "is_anomaly", digits=6)
 
 
+@query
+def recon_pair(spark, sf_dir):
+    """Two features and one component, which SQL can reproduce."""
+    bars = cut_lineage(daily(spark, sf_dir))
+    detector = create_detector("autoencoder", mode="pca", encoding_dim=1).fit(bars, ["High", "Close"])
+    return with_new(detector.predict(bars), "anomaly_score", "is_anomaly", digits=6)
+
+
 @query
 def recon_mlp(spark, sf_dir):
     bars = with_returns(spark, sf_dir)

@@ -418,6 +418,15 @@ ORACLE["lof_embeddings"] = f"""WITH numbered AS (SELECT vec_id AS vid, CAST(embe
 SELECT vid AS vec_id, round({SCALED}, 5) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly
 FROM numbered JOIN factors ON id = vid"""
 
+# the first component of two standardised columns is their sum or difference, by the sign of their correlation
+ORACLE["recon_pair"] = f"""WITH {BARS},
+m AS (SELECT avg(High) AS mh, stddev_pop(High) AS sh, avg(Close) AS mc, stddev_pop(Close) AS sc,
+             sign(covar_pop(High, Close)) AS s FROM bars),
+errors AS (SELECT Symbol, Date, pow((High - mh) / sh - s * (Close - mc) / sc, 2) / 4 AS e FROM bars, m),
+cut AS (SELECT quantile_cont(e, 0.95) AS q, min(e) AS lo, max(e) AS hi FROM errors)
+SELECT Symbol, Date, round((e - lo) / (hi - lo), 6) + 0.0 AS anomaly_score, CAST(e > q AS INTEGER) AS is_anomaly
+FROM errors, cut"""
+
 # --- reports ------------------------------------------------------------------------
 
 ORACLE["anomaly_summary"] = f"""WITH {SCORED}
