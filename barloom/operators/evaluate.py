@@ -26,6 +26,9 @@ def number_in_order(df: DataFrame, order: Sequence[Column], column: str = "_nth"
         place = F.row_number().over(Window.orderBy(*by)).cast("bigint")
         return named.withColumn(column, place).drop(*by)
     parts = math.ceil(size / limit)
+    # equal keys are spread as well
+    by.append("_tie")
+    named = named.withColumn("_tie", F.monotonically_increasing_id())
     stored = cut_lineage(named.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
     # one row per partition

@@ -97,8 +97,10 @@ def split(df: DataFrame) -> DataFrame:
     if is_split(df):
         return df
     blocks = max(2, math.ceil(df.count() / max_rows(df.sparkSession)))
-    ranged = df.repartitionByRange(blocks, "Symbol", "Date").withColumn(BLOCK, F.spark_partition_id())
-    return cut_lineage(ranged)
+    # rows of one date may part, too
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(blocks, "Symbol", "Date", "_tie").withColumn(BLOCK, F.spark_partition_id())
+    return cut_lineage(ranged.drop("_tie"))
 
 
 def merge_blocks(df: DataFrame) -> DataFrame:

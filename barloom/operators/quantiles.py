@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import name, not_nan
@@ -18,6 +18,7 @@ from barloom.operators.layout import max_rows
 from barloom.session import cut_lineage
 
 BUCKETS = 256
+STRIDE = 16
 SKETCH_ACCURACY = 10_000
 
 
@@ -88,48 +89,54 @@ def by_narrowing(
 def order_statistics(values: DataFrame, ranks: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
     """The ``rank``-th smallest value per group: rows of (group, rank, value).
 
-    ``ranks`` holds a few rows per long group and is broadcast in every round.
+    Every open rank has a bracket of values; ranks that share one share the work. The
+    brackets are a few rows per long group and are broadcast.
     """
-    target = [*group, "rank"]
+    bracket = [*group, "_lo", "_hi"]
     probes = [i / BUCKETS for i in range(BUCKETS + 1)]
-    open_end = F.lit(float("inf"))
+    endless = F.lit(float("inf"))
     state = cut_lineage(
-        ranks.select(*target, F.col("rank").alias("_need"), (-open_end).alias("_lo"), open_end.alias("_hi"))
+        ranks.select(*group, "rank", F.col("rank").alias("_need"), (-endless).alias("_lo"), endless.alias("_hi"))
     )
-    while True:
-        inside = values.join(F.broadcast(state), list(group)).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
-        edges = inside.groupBy(*target).agg(
-            F.percentile_approx("value", probes, SKETCH_ACCURACY).alias("_edges"), F.first("_need").alias("_need")
-        )
-        edges = cut_lineage(edges)
-        bucket = F.size(F.filter("_edges", lambda edge: edge <= F.col("value")))
+    widest = limit + 1
+    while widest > limit:
+        inside = within(values, state, bracket, group)
+        edges = inside.groupBy(*bracket).agg(F.percentile_approx("value", probes, SKETCH_ACCURACY).alias("_edges"))
+        edges = cut_lineage(edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % STRIDE == 0)))
         counts = (
-            inside.drop("_need").join(F.broadcast(edges), target)
-            .groupBy(*target, "_need", bucket.alias("_bucket"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+            inside.join(F.broadcast(edges), bracket)
+            .groupBy(*bracket, bucket_of("value").alias("_bucket"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_from"), F.max("value").alias("_to"))
         )
-        order = Window.partitionBy(*target).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-        upto = counts.withColumn("_upto", F.sum("_n").over(order))
+        order = Window.partitionBy(*bracket).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         state = cut_lineage(
-            upto.filter((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
+            containing(state.join(counts.withColumn("_upto", F.sum("_n").over(order)), bracket))
             .withColumn("_need", F.col("_need") - (F.col("_upto") - F.col("_n")))
-            .select(*target, "_need", "_lo", "_hi", "_n")
+            .select(*group, "rank", "_need", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), "_n")
         )
-        open_rows = state.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0
-        if open_rows <= limit:
-            break
+        widest = state.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0
         state = state.drop("_n")
-    narrow = state.drop("_n")
-    copies = (
-        values.join(F.broadcast(narrow), list(group))
-        .filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*target, "_need", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    order = Window.partitionBy(*target).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = copies.withColumn("_upto", F.sum("_n").over(order))
-    hit = (F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n"))
-    return upto.filter(hit).select(*target, "value")
+    copies = within(values, state, bracket, group).groupBy(*bracket, "value").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*bracket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = containing(state.join(copies.withColumn("_upto", F.sum("_n").over(order)), bracket))
+    return found.select(*group, "rank", "value")
+
+
+def within(values: DataFrame, state: DataFrame, bracket: Sequence[str], group: Sequence[str]) -> DataFrame:
+    brackets = state.select(*bracket).distinct()
+    return values.join(F.broadcast(brackets), list(group)).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
+
+
+def containing(counted: DataFrame) -> DataFrame:
+    """The rows whose count takes the running total up to the wanted rank."""
+    return counted.filter((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
+
+
+def bucket_of(value: str) -> Column:
+    """How many edges are at most the value, found among every 16th and then the next 16."""
+    upto = lambda edges: F.size(F.filter(edges, lambda edge: edge <= F.col(value)))
+    skipped = (F.greatest(upto(F.col("_coarse")), F.lit(1)) - 1) * STRIDE
+    return skipped + upto(F.slice("_edges", skipped + 1, F.lit(STRIDE)))
 
 
 def table_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:

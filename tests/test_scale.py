@@ -113,6 +113,20 @@ def test_numbering_over_parts(spark, tiny_tasks):
     assert all(r["_nth"] == r["v"] + 1 for r in rows)
 
 
+def test_equal_keys_spread_over_parts(spark, tiny_tasks):
+    df = spark.range(900).select((F.col("id") % 3 == 0).cast("int").alias("v"), "id")
+    tiny_tasks(100)
+    numbered = evaluate.number_in_order(df, [F.col("v")])
+    rows = numbered.toPandas().sort_values("_nth")
+    assert rows["_nth"].tolist() == list(range(1, 901)) and rows["v"].is_monotonic_increasing
+
+
+def test_one_date_spreads_over_blocks(spark, tiny_tasks):
+    df = spark.range(1000).selectExpr("'A' AS Symbol", "timestamp'2024-01-01' AS Date", "CAST(id AS double) AS Close")
+    tiny_tasks(100)
+    assert layout.lay_out(df).groupBy(BLOCK).count().agg(F.max("count")).first()[0] <= 300
+
+
 def test_gap_patterns_split(spark, tiny_tasks):
     days = [0, 1, 1, 2, 10, 11, 30, 31, 32, 33, 60]
     pdf = pd.DataFrame({"Date": pd.Timestamp("2024-01-01") + pd.to_timedelta(days, unit="D"), "is_anomaly": 1})
