@@ -424,13 +424,14 @@ def contamination_flags(spark, sf_dir):
     return with_new(bars.withColumn("is_anomaly", (F.col("Close") > cut).cast("int")), "Close", "is_anomaly")
 
 
-def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with stationary features, stored because detectors read them several times."""
-    wanted = ["Daily_Return", "HL_Range_Pct", "Volume_Ratio_MA5", "RSI", "BB_Width"]
-    return cut_lineage(shown(process(daily(spark, sf_dir)), 9, "Symbol", "Date", *OHLCV, *wanted))
+STATIONARY = ["Daily_Return", "HL_Range_Pct", "Volume_Ratio_MA5", "RSI", "BB_Width"]
 
 
-STATIONARY = ["Daily_Return", "HL_Range_Pct", "Volume_Ratio_MA5", "RSI", "BB_Width"]
+def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with stationary features, stored because detectors read them several times."""
+    cleaned = cleaning.clean(daily(spark, sf_dir))
+    made = features.engineer(cleaned, drop_incomplete=False, with_volume=True).na.drop(subset=STATIONARY)
+    return cut_lineage(shown(merge_blocks(made), 9, "Symbol", "Date", *OHLCV, *STATIONARY))
 
 
 @query
