@@ -35,6 +35,7 @@ class Detector:
             self.params["contamination"] = None
         self.feature_columns: list[str] = []
         self.state: dict[str, Any] = {}
+        self.size = 0
         self.fitted = False
 
     # what a detector provides
@@ -58,11 +59,10 @@ class Detector:
             raise ValueError("no feature columns")
         self.check_columns(df, columns)
         usable = df.na.drop(subset=columns)
-        if usable.isEmpty():
-            raise ValueError("no rows without nulls in the features: nothing to fit on")
         self.feature_columns = columns
-        means = usable.agg(*[F.avg(not_nan(name(c))) for c in columns]).first()
-        self.state["means"] = [float(m) if m is not None else 0.0 for m in means]
+        self.size, self.state["means"] = self.size_and_means(usable)
+        if not self.size:
+            raise ValueError("no rows without nulls in the features: nothing to fit on")
         self.learn(usable)
         self.fitted = True
         return self
@@ -73,9 +73,11 @@ class Detector:
         The raw scores are stored before the range is taken, so each row is scored once.
         """
         self.check_ready(df)
-        if df.isEmpty():
+        size, means = self.size_and_means(df)
+        if not size:
             raise ValueError("cannot predict on an empty table")
-        means = self.batch_means(df) if impute == "batch" else self.state["means"]
+        if impute == "train":
+            means = self.state["means"]
         scored = cut_lineage(self.raw_scores(self.complete(df, means)))
         low, high = scored.agg(F.min(RAW), F.max(RAW)).first()
         return self.finish(scored, low, high)
@@ -107,9 +109,10 @@ class Detector:
             raise ValueError("the detector has not been fitted")
         self.check_columns(df, self.feature_columns)
 
-    def batch_means(self, df: DataFrame) -> list[float]:
-        row = df.agg(*[F.avg(not_nan(name(c))) for c in self.feature_columns]).first()
-        return [float(m) if m is not None else 0.0 for m in row]
+    def size_and_means(self, df: DataFrame) -> tuple[int, list[float]]:
+        """Row count and feature means (0 for a feature without values) in one pass."""
+        row = df.agg(F.count(F.lit(1)), *[F.avg(not_nan(name(c))) for c in self.feature_columns]).first()
+        return row[0], [float(m) if m is not None else 0.0 for m in row[1:]]
 
     def complete(self, df: DataFrame, means: Sequence[float]) -> DataFrame:
         """Hidden copies of the features with nulls filled; the shown columns stay as they are."""

@@ -95,7 +95,7 @@ class IsolationForest(Detector):
 
     def learn(self, df: DataFrame) -> None:
         trees, seed = int(self.params["n_estimators"]), int(self.params["random_state"])
-        size = df.count()
+        size = self.size
         rows_per_tree = min(int(self.params["max_samples"]), size)
         if 2 * rows_per_tree * trees > MOST_NODES:
             raise ValueError("n_estimators * max_samples is too large for a forest that every task holds")
