@@ -105,10 +105,10 @@ def shown(df: DataFrame, digits: int = 4, *columns: str) -> DataFrame:
     return rounded(df.withColumn("Date", F.col("Date").cast("date")) if "Date" in df.columns else df, digits)
 
 
-def shown_at(df: DataFrame, digits: int = 4) -> DataFrame:
+def shown_at(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
     """As ``shown``, with the time of day as text."""
     df = df.select(*[name(c) for c in df.columns if not c.startswith("_")])
-    return rounded(df.withColumn("Date", F.date_format("Date", "yyyy-MM-dd HH:mm:ss.SSSSSS")), digits)
+    return rounded(df.withColumn("Date", F.date_format("Date", "yyyy-MM-dd HH:mm:ss.SSSSSS")), digits, nudge=nudge)
 
 
 def with_new(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -320,7 +320,8 @@ def eval_features(spark, sf_dir):
 @query
 def tick_features(spark, sf_dir):
     moved = features.price_features(cleaning.fill(ticks(spark, sf_dir)))
-    return shown_at(moved.select("Symbol", "Date", "Close", "Daily_Return", "MA5", "MA20", "Price_Momentum_5d"))
+    wanted = moved.select("Symbol", "Date", "Close", "Daily_Return", "MA5", "MA20", "Price_Momentum_5d")
+    return shown_at(wanted, nudge=NUDGE)
 
 
 @query

@@ -300,7 +300,7 @@ FROM stage3 WHERE {complete(EARLY)}"""
 
 TICK = {k: PRICE[k] for k in ("Daily_Return", "MA5", "MA20", "Price_Momentum_5d")}
 ORACLE["tick_features"] = f"""WITH {TICKS}, filled AS (SELECT Symbol, Date, {forward('Close')} AS Close FROM ticks)
-SELECT Symbol, {TIME} AS Date, {rounded({'Close': 'Close', **TICK})} FROM filled"""
+SELECT Symbol, {TIME} AS Date, {nudged({'Close': 'Close', **TICK})} FROM filled"""
 ORACLE["tick_interpolated"] = f"""WITH {TICKS}, numbered AS (SELECT *, row_number() {W} AS rn FROM ticks)
 SELECT Symbol, {TIME} AS Date, {rounded({'Close': line('Close')})} FROM numbered"""
 ORACLE["tick_iqr_cap"] = f"""WITH {TICKS}, quarters AS (
