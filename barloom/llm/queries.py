@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from barloom.llm.fingerprints import op3_weighted_fingerprints
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.sharding import op8_sampled_shards
 
 QUERIES = {
+    "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op8_sampled_shards": op8_sampled_shards,
     "op10_block_mix": op10_block_mix,
 }
