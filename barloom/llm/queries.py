@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from barloom.llm.decontaminate import op6_benchmark_windows
 from barloom.llm.fingerprints import op3_weighted_fingerprints
+from barloom.llm.langid import op1_subword_language
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.sharding import op8_sampled_shards
 
 QUERIES = {
+    "op1_subword_language": op1_subword_language,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
+    "op6_benchmark_windows": op6_benchmark_windows,
     "op8_sampled_shards": op8_sampled_shards,
     "op10_block_mix": op10_block_mix,
 }
