@@ -7,11 +7,13 @@ from barloom.llm.fingerprints import op3_weighted_fingerprints
 from barloom.llm.langid import op1_subword_language
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.sharding import op8_sampled_shards
+from barloom.llm.toxicity import op7_recurrent_toxicity
 
 QUERIES = {
     "op1_subword_language": op1_subword_language,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op6_benchmark_windows": op6_benchmark_windows,
+    "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op8_sampled_shards": op8_sampled_shards,
     "op10_block_mix": op10_block_mix,
 }
