@@ -5,16 +5,20 @@ from __future__ import annotations
 from barloom.llm.decontaminate import op6_benchmark_windows
 from barloom.llm.fingerprints import op3_weighted_fingerprints
 from barloom.llm.langid import op1_subword_language
+from barloom.llm.lmscore import op4_maxent_scores
 from barloom.llm.mixing import op10_block_mix
+from barloom.llm.ngramjoin import op9_ngram_links
 from barloom.llm.sharding import op8_sampled_shards
 from barloom.llm.toxicity import op7_recurrent_toxicity
 
 QUERIES = {
     "op1_subword_language": op1_subword_language,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
+    "op4_maxent_scores": op4_maxent_scores,
     "op6_benchmark_windows": op6_benchmark_windows,
     "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op8_sampled_shards": op8_sampled_shards,
+    "op9_ngram_links": op9_ngram_links,
     "op10_block_mix": op10_block_mix,
 }
 
