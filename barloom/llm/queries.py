@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from barloom.llm.decontaminate import op6_benchmark_windows
 from barloom.llm.fingerprints import op3_weighted_fingerprints
+from barloom.llm.htmltext import op5_tree_text
 from barloom.llm.langid import op1_subword_language
 from barloom.llm.lmscore import op4_maxent_scores
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.ngramjoin import op9_ngram_links
 from barloom.llm.sharding import op8_sampled_shards
+from barloom.llm.tokencounts import OP2_SQL, op2_token_rollup
 from barloom.llm.toxicity import op7_recurrent_toxicity
 
 QUERIES = {
     "op1_subword_language": op1_subword_language,
+    "op2_token_rollup": op2_token_rollup,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op4_maxent_scores": op4_maxent_scores,
+    "op5_tree_text": op5_tree_text,
     "op6_benchmark_windows": op6_benchmark_windows,
     "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op8_sampled_shards": op8_sampled_shards,
@@ -22,4 +26,4 @@ QUERIES = {
     "op10_block_mix": op10_block_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_token_rollup": OP2_SQL}
