@@ -170,7 +170,7 @@ def test_rollup_batches_count_once(spark, tmp_path, odd, empty):
     assert rollup.commit("one", tokencounts.changes(odd, 1)) and not rollup.commit("one", tokencounts.changes(odd, 1))
     assert rollup.commit("none", tokencounts.changes(empty, 1))
     rows = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
-    assert rows["b", "de", "words-1"] == (3, 13) and rows[None, None, "words-1"] == (2, 0)
+    assert rows["b", "de", "words-1"] == (3, 15) and rows[None, None, "words-1"] == (2, 0)
     (tmp_path / "r" / "batch=broken").mkdir()  # an attempt that never ended counts for nothing
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()} == rows
     assert rollup.compact(str(tmp_path / "s")).totals().count() == len(rows)
