@@ -32,6 +32,8 @@ from barloom.session import cut_lineage
 WORDS, PERCENT = 4, 85
 #: A token that more classes share is frequent.
 FREQUENT = 16
+#: Of the entries before one, a class carries the first few: a pair that shares one of them is compared there.
+TOLD = 32
 #: Classes that survive the first step are marked in a bitmap of so many bits (8 MB); a chance mark costs time only.
 MARK_BITS = 1 << 26
 
@@ -75,6 +77,8 @@ def _first_step(words: int, percent: int):
     def run(batches):
         told: set[bytes | None] = set()
         for rows, sets, keys in _sets(words, batches):
+            if not len(rows):
+                continue
             half = [-(-_prefix(len(s), percent) // 2) for s in sets]
             # copies within a task speak for each other
             fresh = [not (k in told or told.add(k)) for k in keys]
@@ -94,7 +98,8 @@ def _marked_sets(words: int, marks):
                     bit = int.from_bytes(key[:8], "little") % MARK_BITS
                     if bits[bit >> 3] >> (bit & 7) & 1:
                         out.append((key, s))
-            yield pd.DataFrame({"key": [k for k, _ in out], "tokens": [s for _, s in out]})
+            if out:
+                yield pd.DataFrame({"key": [k for k, _ in out], "tokens": [s for _, s in out]})
 
     return run
 
@@ -156,10 +161,15 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     sizes = held.groupBy("entry", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("entry").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = cut_lineage(held.join(main, "entry").select("entry", "id", "n", "left", "c", "main"))
-    x = open_.where("c <> main").select("entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
-    y = open_.select("entry", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"), "main")
+    listed = open_.groupBy("id", "n", "left", "c").agg(F.array_sort(F.collect_list(F.struct("entry", "main"))).alias("e"))
+    least = listed.withColumn("low", F.slice("e.entry", 1, TOLD))
+    rows = least.select("id", "n", "left", "c", "low", F.posexplode("e").alias("i", "e"))
+    rows = rows.select("e.entry", "id", "n", "left", "c", "e.main", F.slice("low", 1, F.least("i", F.lit(TOLD))).alias("before"))
+    x = rows.where("c <> main").select("entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"), F.col("before").alias("ea"))
+    y = rows.select("entry", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"), "main", F.col("before").alias("eb"))
     possible = F.least("la", "lb") >= _enough(F.col("na"), F.col("nb"), percent)
-    pairs = x.join(y, "entry").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & possible)
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    pairs = x.join(y, "entry").where(once & possible & ~F.arrays_overlap("ea", "eb"))
     rest = _verified(pairs.select("a", "b").distinct(), sets, percent)
     return first.unionByName(rest)
 
