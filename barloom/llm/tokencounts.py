@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import WORD, table
-from barloom.session import fresh_folder
+from barloom.session import cut_lineage, fresh_folder
 
 KEYS = ["source", "lang", "tokenizer"]
 #: A piece: a run of letters, a run of digits, or one other mark that isn't ASCII white space.
@@ -69,17 +69,26 @@ def bpe(ranks_path: str, pattern: str, keep: int = 200_000) -> Callable[[Column]
 COUNTERS: dict[str, Callable[[Column], Column]] = {"words-1": words_1, "pieces-1": pieces_1}
 
 
-def changes(docs: DataFrame, sign: int, counters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """Signed rows for documents: source, lang, tokenizer, docs, tokens. A null text has no tokens but is a document."""
-    counters = counters or COUNTERS
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.select("source", "lang", *[(sign * f(text)).cast("long").alias(f"n{i}") for i, f in enumerate(counters.values())])
+def measured(docs: DataFrame, counters: dict[str, Callable[[Column], Column]], text: Column, prefix: str = "n") -> DataFrame:
+    """Add the tokens of ``text`` by each counter, as ``n0``, ``n1``, ...; a null text has none."""
+    return docs.withColumns({f"{prefix}{i}": f(F.coalesce(text, F.lit(""))).cast("long") for i, f in enumerate(counters.values())})
+
+
+def signed(counted: DataFrame, sign: int, counters: dict[str, Callable[[Column], Column]], prefix: str = "n") -> DataFrame:
+    """Signed rows for documents whose tokens are known: source, lang, tokenizer, docs, tokens."""
     # summed before they are laid out by tokenizer, so one row per group and task moves
-    summed = counted.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(counters))])
+    sums = [F.sum(sign * F.col(f"{prefix}{i}")).alias(f"n{i}") for i in range(len(counters))]
+    summed = counted.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), *sums)
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"n{i}").alias("tokens")) for i, name in enumerate(counters)]))
     return summed.select("source", "lang", rows.alias("r"), "docs").select("source", "lang", "r.tokenizer", (F.col("docs") * sign).cast("long").alias("docs"), "r.tokens")
 
 
+def changes(docs: DataFrame, sign: int, counters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Signed rows for documents: source, lang, tokenizer, docs, tokens. A null text has no tokens but is a document."""
+    counters = counters or COUNTERS
+    return signed(measured(docs.select("source", "lang", "text"), counters, F.col("text")), sign, counters)
+
+
 def merged(*parts: DataFrame) -> DataFrame:
     """One row per group: the sums of signed rows. Groups without documents and tokens left are gone."""
     every = reduce(DataFrame.unionByName, parts)
@@ -129,18 +138,21 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by source, language and tokenizer version, after inserts, deletes, revisions and a replay.
 
     All documents come in; those labelled as of low quality go; toxic ones among the rest are revised to a text of
-    words only, with A-Z lower-cased. Every batch is sent twice.
+    words only. Every batch is sent twice.
     """
     docs = table(spark, sf_dir, "documents")
     marks = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    low = docs.join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    toxic = docs.join(marks.where("quality = 1 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    revised = toxic.withColumn("text", F.regexp_replace("text", r"[^\p{L}\x20\x09-\x0D]+", ""))
+    # tokens are counted once and before the joins, so no text moves
+    words_only = F.regexp_replace("text", r"[^\p{L}\x20\x09-\x0D]+", "")
+    both = measured(measured(docs.select("doc_id", "source", "lang", "text"), COUNTERS, F.col("text")), COUNTERS, words_only, "r")
+    counted = cut_lineage(both.drop("text"))
+    low = counted.join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    toxic = counted.join(marks.where("quality = 1 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
     rollup = Rollup(spark, fresh_folder(spark, "rollup"))
     for _ in range(2):
-        rollup.commit("inserts", changes(docs, 1))
-        rollup.commit("deletes", changes(low, -1))
-        rollup.commit("revisions", merged(changes(toxic, -1), changes(revised, 1)))
+        rollup.commit("inserts", signed(counted, 1, COUNTERS))
+        rollup.commit("deletes", signed(low, -1, COUNTERS))
+        rollup.commit("revisions", merged(signed(toxic, -1, COUNTERS), signed(toxic, 1, COUNTERS, "r")))
     return rollup.totals()
 
 
