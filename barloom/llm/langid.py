@@ -8,6 +8,7 @@ probabilities, and the least probability that keeps the errors among accepted ro
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +45,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _bag(words: list[bytes], seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
-    for w in words:
+def _bag(words: list[bytes], seen: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares; a long text takes memory for its distinct words only."""
+    times = Counter(words)
+    for w in times:
         if w not in seen:
-            seen[w] = subwords(w, SIZES, BUCKETS)
-        ids += seen[w]
-    at, n = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
+            seen[w] = np.array(subwords(w, SIZES, BUCKETS), dtype=np.int32)
+    lists = [seen[w] for w in times]
+    weights = np.repeat(np.fromiter(times.values(), np.float64, len(times)), [len(x) for x in lists])
+    at, back = np.unique(np.concatenate(lists), return_inverse=True)
+    n = np.bincount(back, weights)
     return at, (n / n.sum()).astype(np.float32)
 
 
@@ -71,6 +75,7 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> LanguageModel:
             n = int(rng.integers(4, 40))
             start = int(rng.integers(0, max(1, len(words) - n)))
             into.append((*_bag(words[start : start + n], seen), code[labels[i]]))
+    seen.clear()
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, done = EPOCHS * max(1, len(fit)), 0
