@@ -15,6 +15,8 @@ from barloom.session import cut_lineage
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 MOST_NODES = 20_000_000
 TOLERANCE = 1e-12
+# Equal rows that one task unfolds.
+RUN = 100_000
 
 
 def expected_path(n: float) -> float:
@@ -85,9 +87,8 @@ class Forest:
 class IsolationForest(Detector):
     """Every tree learns from a few hundred rows, so fitting moves only a small sample.
 
-    Rows are sampled by a seeded hash of their key, which gives the same forest however the
-    table is partitioned. The key is (Symbol, Date), expected to be unique, or ``_row``;
-    without either the sample is drawn at random.
+    Each tree draws its own rows from the whole table by a seeded hash, which gives the same
+    forest however the table is partitioned.
     """
 
     kind = "isolation_forest"
@@ -99,26 +100,14 @@ class IsolationForest(Detector):
         rows_per_tree = min(int(self.params["max_samples"]), size)
         if 2 * rows_per_tree * trees > MOST_NODES:
             raise ValueError("n_estimators * max_samples is too large for a forest that every task holds")
-        pool = self.pool(df, size, 4 * rows_per_tree * int(math.sqrt(trees) + 1), seed)
-        pooled = pool.count()
-        share = min(1.0, 2 * rows_per_tree / pooled)
-        keep = int(share * (1 << 31))
-        drawn = pool.select(
-            "_x",
-            F.col("_h"),
-            F.explode(
-                F.filter(
-                    F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_h")), F.lit(1 << 31)) < keep,
-                )
-            ).alias("tree"),
-        )
+        drawn = self.drawn(df, size, rows_per_tree, trees, seed)
         limit = max(1, math.ceil(math.log2(max(rows_per_tree, 2))))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
             order = pd.util.hash_array((pdf["_h"].to_numpy() ^ np.int64(tree * 7919 + seed)).astype(np.int64))
-            x = np.stack(pdf["_x"].to_numpy())[np.argsort(order, kind="stable")][:rows_per_tree]
+            x = np.stack(pdf["_x"].to_numpy())
+            x = x[np.lexsort((*x.T, order))][:rows_per_tree]
             nodes = grow(x, np.random.default_rng([seed, tree]), limit)
             out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
             out.insert(0, "node", np.arange(len(out)))
@@ -135,20 +124,28 @@ class IsolationForest(Detector):
         """Averaging equal path lengths must not lift a row over the cut by a last bit."""
         return raw > F.lit(float(self.state["threshold"]) + TOLERANCE)
 
-    def pool(self, df: DataFrame, size: int, wanted: int, seed: int) -> DataFrame:
-        """The rows with the smallest hashes, of which the trees draw theirs."""
+    def drawn(self, df: DataFrame, size: int, rows_per_tree: int, trees: int, seed: int) -> DataFrame:
+        """About twice the rows each tree keeps, drawn for every tree from all rows by hash; each tree keeps its smallest.
+
+        Rows are known by (Symbol, Date) or ``_row``, else by their features and a number among rows with the same
+        ones, so the forest doesn't depend on how the table is partitioned.
+        """
+        x = self.vector(df)
         key = ["Symbol", "Date"] if {"Symbol", "Date"} <= set(df.columns) else [c for c in ["_row"] if c in df.columns]
         if key:
-            mark = F.xxhash64(F.lit(seed), *key)
+            rows = df.select(x.alias("_x"), F.xxhash64(F.lit(seed), *key).alias("_h"))
         else:
-            mark = F.floor(F.rand(seed) * F.lit(float(1 << 62))).cast("bigint")
-        rows = df.select(self.vector(df).alias("_x"), mark.alias("_h"))
-        if size > wanted:
-            share = min(1.0, 2 * wanted / size)
-            rows = rows.filter(F.pmod("_h", F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(
-                F.pmod("_h", F.lit(1 << 31)), "_h"
-            ).limit(wanted)
-        return cut_lineage(rows)
+            # equal rows are counted first and unfolded in runs, so that no task numbers them all
+            counted = df.select(x.alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("n"))
+            runs = counted.select("_x", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN))).alias("first")).repartition("_x", "first")
+            copies = runs.select("_x", F.explode(F.sequence("first", F.least(F.col("first") + RUN, "n") - 1)).alias("copy"))
+            rows = copies.select("_x", F.xxhash64(F.lit(seed), "_x", "copy").alias("_h"))
+        keep = int(min(1.0, 2 * rows_per_tree / size) * (1 << 62))
+        chosen = F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_h")), 2) < keep,
+        )
+        return rows.select("_x", "_h", F.explode(chosen).alias("tree"))
 
     def load_forest(self) -> None:
         # bounded by MOST_NODES, whatever the size of the data

@@ -12,13 +12,17 @@ from pyspark.sql.window import WindowSpec
 
 # Date spellings accepted from files, tried in this order.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "dd-MMM-yyyy",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy H:mm:ss",
+    "yyyy/M/d",
+    "yyyy/M/d H:mm:ss",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
 )
+# Dates that begin with the year and a dash: an optional time, fraction and zone are read by the cast.
+ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)? ?(Z|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?$"
 
 
 def name(column: str) -> Column:
@@ -38,7 +42,7 @@ def to_number(column: Column) -> Column:
 
 
 # What the letters of a date format stand for in text.
-SHAPES = {"yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", "'T'": "T", **dict.fromkeys(("MM", "dd", "HH", "mm", "ss"), "[0-9]{2}")}
+SHAPES = {"yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", **dict.fromkeys(("mm", "ss"), "[0-9]{2}"), **dict.fromkeys("MdH", "[0-9]{1,2}")}
 
 
 def shape(date_format: str) -> str:
@@ -47,12 +51,13 @@ def shape(date_format: str) -> str:
 
 
 def to_timestamp(column: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that parses wins; nothing parses means null.
+    """Dates as people and programs write them: year first, or in one of ``formats``, the first that parses.
 
-    A failed parse costs an exception, so a format is tried only on text of its shape.
+    Nothing parses means null. A failed parse costs an exception, so a format is tried only on text of its shape.
     """
     text = F.trim(column.cast("string"))
-    return F.coalesce(*[F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    iso = F.when(text.rlike(ISO_DATE), F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp"))
+    return F.coalesce(iso, *[F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def ratio_change(now: Column, before: Column) -> Column:

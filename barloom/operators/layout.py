@@ -46,7 +46,8 @@ def series_keys(df: DataFrame) -> list[str]:
 
 
 def series_window(df: DataFrame) -> WindowSpec:
-    return Window.partitionBy(*series_keys(df)).orderBy("Date")
+    """A series by date; rows of one date in file order, where it is known."""
+    return Window.partitionBy(*series_keys(df)).orderBy("Date", *(c for c in ["_row"] if c in df.columns))
 
 
 def trailing(window: WindowSpec, rows: int) -> WindowSpec:

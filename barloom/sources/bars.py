@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.columns import not_nan
 from barloom.operators.layout import BAR_SECONDS
 
 # Calendar units of date_trunc and a lower bound of their length in seconds.
@@ -63,7 +64,7 @@ def to_bars(
 ) -> DataFrame:
     """Aggregate ticks to bars: first, highest, lowest and last price and the volume.
 
-    Without ``quantity`` the volume counts ticks. ``order_by`` decides first and last and
+    Ticks without a time or a price, NaN included, count for nothing. Without ``quantity`` the volume counts ticks. ``order_by`` decides first and last and
     should be unique per bar. Partial aggregation leaves one row per bar and map task, so a
     hot symbol does not skew the shuffle.
     """
@@ -71,7 +72,7 @@ def to_bars(
     start = bar_start(F.col(ts).cast("timestamp"), every)
     volume = F.sum(F.col(quantity).cast("double")) if quantity else F.count(F.lit(1)).cast("double")
     bars = (
-        df.filter(F.col(price).isNotNull() & F.col(ts).isNotNull())
+        df.filter(F.col(price).isNotNull() & F.col(ts).isNotNull() & not_nan(F.col(price)).isNotNull())
         .select(
             F.coalesce(F.col(symbol).cast("string"), F.lit("UNKNOWN")).alias("Symbol"),
             start.alias("Date"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,6 @@ FORMATS = {".csv": "csv", ".json": "json", ".xml": "xml", ".parquet": "parquet"}
 VENDOR_FIELDS = {"1. open": "Open", "2. high": "High", "3. low": "Low", "4. close": "Close", "5. volume": "Volume"}
 VENDOR_SYMBOL = "2. Symbol"
 VENDOR_SERIES = "(?i)time series"
-# How much of an XML file is looked at to find its record element.
-HEAD_BYTES = 1 << 16
-HEAD_LINES = 1000
 
 
 def number_rows(df: DataFrame) -> DataFrame:
@@ -40,15 +36,30 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
     Only JSON lines split within a file; a whole-file document is one task per file.
     """
-    return flatten(records(spark.read.option("multiLine", not lines).json(path)))
+    df = spark.read.option("multiLine", not lines).json(path)
+    return flatten(records(df) if not lines and root_is_object(spark, path) else df)
+
+
+def root_is_object(spark: SparkSession, path: str) -> bool:
+    """Whether every document is one object, rather than an array of records."""
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.regexp_extract("value", r"^\W*?([{\[])", 1).alias("root")
+    )
+    roots = lines.where("root <> ''").groupBy("file").agg(F.min_by("root", "line").alias("root"))
+    return roots.where("root <> '{'").isEmpty()
 
 
 def records(df: DataFrame) -> DataFrame:
-    """Explode the first field that is a list of objects, if there is one."""
+    """Unfold the first field that is a list of objects, if there is one; single values beside it stay.
+
+    An empty list gives one row without a record.
+    """
     for field in df.schema.fields:
         kind = field.dataType
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            return df.select(F.inline(name(field.name)))
+            inner = set(kind.elementType.fieldNames())
+            beside = [f.name for f in df.schema.fields if f.name not in inner and not isinstance(f.dataType, T.ArrayType | T.StructType)]
+            return df.select(*map(name, beside), F.inline_outer(name(field.name)))
     return df
 
 
@@ -80,13 +91,16 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
 def find_row_tag(spark: SparkSession, path: str) -> str:
     """The first element in document order that occurs more than once, else the root.
 
-    Looks at the head of one file only; a record longer than that needs ``row_tag``.
+    All tags of all files are counted where they lie; in a folder, files follow by name.
     """
-    head = spark.read.text(path).select(F.substring("value", 1, HEAD_BYTES).alias("line")).limit(HEAD_LINES)
-    tags = re.findall(r"<([A-Za-z_][\w.\-]*)", "\n".join(r["line"] for r in head.collect()))
-    if not tags:
-        raise ValueError(f"no XML elements in the head of {path}")
-    return next((t for t in tags if tags.count(t) > 1), tags[0])
+    tags = F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.\-]*)"), F.lit(1))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), tags.alias("tags"))
+    found = lines.select("file", "line", F.posexplode("tags").alias("at", "tag"))
+    first = found.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line", "at")).alias("first"))
+    best = first.orderBy((F.col("n") > 1).desc(), "first").first()
+    if best is None:
+        raise ValueError(f"no XML elements in {path}")
+    return best["tag"]
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, row_tag: str | None = None) -> DataFrame:

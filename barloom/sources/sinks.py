@@ -9,7 +9,10 @@ FORMATS = ("parquet", "csv", "json")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", only_anomalies: bool = False) -> str:
-    """Write as Parquet (partitioned by Symbol where there is one), CSV with header or JSON lines."""
+    """Write as Parquet (in order of Symbol and Date where there are any), CSV with header or JSON lines.
+
+    Symbol stays a column of the files, so ``0700`` remains text, and their number follows the shuffle partitions.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported output format: {fmt}")
     if only_anomalies:
@@ -19,10 +22,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", only_anomalies:
         writer.option("header", True).csv(path)
     elif fmt == "json":
         writer.json(path)
-    elif "Symbol" in df.columns and len(df.columns) > 1:
-        writer.partitionBy("Symbol").parquet(path)
     else:
-        writer.parquet(path)
+        order = [c for c in ("Symbol", "Date") if c in df.columns]
+        (df.repartitionByRange(*order).sortWithinPartitions(*order).write if order else writer).parquet(path)
     return path
 
 

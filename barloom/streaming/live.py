@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from barloom.detectors.base import Detector
 from barloom.session import fresh_folder
-from barloom.sources.bars import arrival
+from barloom.functions.columns import not_nan
+from barloom.sources.bars import CALENDAR, arrival, interval
 
 
 def read_parquet_stream(
@@ -35,12 +36,19 @@ def stream_bars(
 ) -> DataFrame:
     """Bars of tumbling windows, each emitted once the watermark passes its end.
 
-    Ticks later than ``late`` are dropped. State is one row per open bar.
+    Ticks later than ``late`` are dropped, as are those without a time or a price. State is one row per open bar. Weeks
+    begin on Monday, as in batch; months and quarters have no fixed length, so a stream can't close them. Bars still
+    open when a stream ends are not emitted: a batch run over the same ticks has them.
     """
+    count, unit = interval(every)
+    if unit in ("month", "quarter"):
+        raise ValueError(f"bars of a stream can't last a {unit}: combine daily bars with rebucket")
+    # windows count from 1970-01-01, a Thursday
+    start = "4 days" if (count, unit) == (1, "week") and unit in CALENDAR else None
     order = arrival(ticks, order_by or [ts])
     volume = F.sum(F.col(quantity).cast("double")) if quantity else F.count(F.lit(1)).cast("double")
     return (
-        ticks.filter(F.col(price).isNotNull())
+        ticks.filter(F.col(ts).isNotNull() & not_nan(F.col(price)).isNotNull())
         .select(
             F.coalesce(F.col(symbol).cast("string"), F.lit("UNKNOWN")).alias("Symbol"),
             F.col(ts).cast("timestamp").alias("_ts"),
@@ -49,7 +57,7 @@ def stream_bars(
             *([F.col(quantity)] if quantity else []),
         )
         .withWatermark("_ts", late)
-        .groupBy("Symbol", F.window("_ts", every).alias("_w"))
+        .groupBy("Symbol", F.window("_ts", every, startTime=start).alias("_w"))
         .agg(
             F.min_by("_price", "_order").alias("Open"),
             F.max("_price").alias("High"),

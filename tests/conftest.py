@@ -1,13 +1,9 @@
 import os
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from barloom.operators.layout import MAX_ROWS_CONF  # noqa: E402
-from barloom.session import local_session  # noqa: E402
+from barloom.operators.layout import MAX_ROWS_CONF
+from barloom.session import local_session
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

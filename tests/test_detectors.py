@@ -177,3 +177,26 @@ def test_stream_scores_equal_batch(spark, points, tmp_path):
 def test_numbering_is_total(points):
     rows = number_in_order(points, [F.col("f1")]).toPandas()
     assert sorted(rows["_nth"]) == list(range(1, 301))
+
+
+def forest_nodes(df, **params):
+    forest = create_detector("isolation_forest", n_estimators=20, max_samples=64, **params).fit(df, ["a", "b"])
+    return forest.nodes.orderBy("tree", "node").toPandas()
+
+
+def test_forest_is_the_same_under_any_partitioning(spark):
+    rows = spark.range(3000).select((F.col("id") % 700).cast("double").alias("a"), F.sin(F.col("id") % 90).alias("b"))
+    one, seven = forest_nodes(rows.coalesce(1)), forest_nodes(rows.repartition(7))
+    assert one.equals(seven)
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    """One row in 5,000 is in a cluster of its own; the samples of 100 trees hold about as large a share of it."""
+    rows = spark.range(500_000).select(F.when(F.col("id") % 5000 == 0, 100.0).otherwise(F.rand(1)).alias("a"), F.rand(2).alias("b"), F.col("id").alias("_row"))
+    forest = create_detector("isolation_forest", max_samples=256)
+    forest.feature_columns = ["a", "b"]
+    drawn = forest.drawn(rows, 500_000, 256, 100, 42)
+    total, cluster, distinct = drawn.agg(F.count("*"), F.count_if(F.get("_x", F.lit(0)) == 100.0), F.countDistinct("_h")).first()
+    assert 45_000 < total < 58_000 and 2 <= cluster <= 25 and distinct > 40_000
+    per_tree = drawn.groupBy("tree").count().agg(F.min("count"), F.count("*")).first()
+    assert per_tree[0] >= 256 and per_tree[1] == 100
