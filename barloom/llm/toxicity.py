@@ -26,6 +26,8 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, PIECE_BUCKETS, SIZES = 1 << 14, 1 << 15, (3, 4, 5)
 WIDTH, HIDDEN = 8, 8
 EPOCHS, BATCH, RATE, WORD_DROP = 8, 24, 0.02, 0.3
+#: Small samples are passed over more often, until so many steps are made.
+LEAST_STEPS = 200
 #: Windows that are scored at once.
 AT_ONCE = 4096
 
@@ -213,9 +215,10 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] | Non
     square = {k: np.zeros_like(v) for k, v in p.items()}
     toxic = max(1, int((y[fit] == 1).sum()))
     weight = np.where(y == 1, len(fit) / (2 * toxic), len(fit) / (2 * max(1, len(fit) - toxic)))
-    steps = EPOCHS * -(-len(fit) // BATCH)
-    step = 0
-    for _ in range(EPOCHS):
+    batches = -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         shuffled = rng.permutation(fit)
         for start in range(0, len(shuffled), BATCH):
             batch = shuffled[start : start + BATCH]
