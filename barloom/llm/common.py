@@ -68,3 +68,20 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 
 def keep_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in names if c in df.columns]
+
+
+#: A key that holds more than one in so many of all rows is hot; there are fewer such keys than this.
+HOT_SHARE = 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with a table that has one row per key and, in ``size``, how many of the ``total`` left rows hold it.
+
+    Hot keys, fewer than ``HOT_SHARE``, are broadcast, and their rows stay where they are; the others are joined by shuffle,
+    where none has more than its small share of the rows. ``size`` is dropped. Null keys join nothing.
+    """
+    hot = F.col(size) * HOT_SHARE > total
+    few, many = right.where(hot).drop(size), right.where(~hot).drop(size)
+    here = left.join(F.broadcast(few), keys)
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)
+    return here.unionByName(rest)

@@ -6,6 +6,7 @@ from barloom.llm.decontaminate import op6_benchmark_windows
 from barloom.llm.fingerprints import op3_weighted_fingerprints
 from barloom.llm.htmltext import op5_tree_text
 from barloom.llm.langid import op1_subword_language
+from barloom.llm.linequality import OP11_SQL, op11_line_frequency
 from barloom.llm.lmscore import op4_maxent_scores
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.ngramjoin import op9_ngram_links
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sampled_shards": op8_sampled_shards,
     "op9_ngram_links": op9_ngram_links,
     "op10_block_mix": op10_block_mix,
+    "op11_line_frequency": op11_line_frequency,
 }
 
-ORACLE = {"op2_token_rollup": OP2_SQL}
+ORACLE = {"op2_token_rollup": OP2_SQL, "op11_line_frequency": OP11_SQL}
