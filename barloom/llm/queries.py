@@ -10,6 +10,7 @@ from barloom.llm.linequality import OP11_SQL, op11_line_frequency
 from barloom.llm.lmscore import op4_maxent_scores
 from barloom.llm.mixing import op10_block_mix
 from barloom.llm.ngramjoin import op9_ngram_links
+from barloom.llm.prefixtrie import OP12_SQL, op12_centroid_trie
 from barloom.llm.sharding import op8_sampled_shards
 from barloom.llm.tokencounts import OP2_SQL, op2_token_rollup
 from barloom.llm.toxicity import op7_recurrent_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ngram_links": op9_ngram_links,
     "op10_block_mix": op10_block_mix,
     "op11_line_frequency": op11_line_frequency,
+    "op12_centroid_trie": op12_centroid_trie,
 }
 
-ORACLE = {"op2_token_rollup": OP2_SQL, "op11_line_frequency": OP11_SQL}
+ORACLE = {"op2_token_rollup": OP2_SQL, "op11_line_frequency": OP11_SQL, "op12_centroid_trie": OP12_SQL}
