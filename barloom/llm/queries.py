@@ -14,6 +14,7 @@ from barloom.llm.prefixtrie import OP12_SQL, op12_centroid_trie
 from barloom.llm.sharding import op8_sampled_shards
 from barloom.llm.tokencounts import OP2_SQL, op2_token_rollup
 from barloom.llm.toxicity import op7_recurrent_toxicity
+from barloom.llm.turnrepair import OP13_SQL, op13_hirschberg_repair
 
 QUERIES = {
     "op1_subword_language": op1_subword_language,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_block_mix": op10_block_mix,
     "op11_line_frequency": op11_line_frequency,
     "op12_centroid_trie": op12_centroid_trie,
+    "op13_hirschberg_repair": op13_hirschberg_repair,
 }
 
-ORACLE = {"op2_token_rollup": OP2_SQL, "op11_line_frequency": OP11_SQL, "op12_centroid_trie": OP12_SQL}
+ORACLE = {"op2_token_rollup": OP2_SQL, "op11_line_frequency": OP11_SQL, "op12_centroid_trie": OP12_SQL, "op13_hirschberg_repair": OP13_SQL}
