@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from barloom.functions.columns import ratio_change, rolling_correlation, rolling_mean, rolling_std
+from barloom.operators.averages import with_averages, with_convergence
 from barloom.operators.cleaning import fill
 from barloom.operators.layout import lay_out, over_series, series_keys, trailing
 
@@ -126,7 +127,7 @@ def blend(df: DataFrame, averages: dict[str, tuple[str, int]], reach: int) -> Da
     Chunks are no shorter than the reach of the longest span. Inside one,
     ``y[p] = a * d^p * sum(x[i] * d^-i)`` with d = 1-a; from before it only the end of
     the previous chunk matters, as anything older weighs less than ``NEGLIGIBLE``.
-    Input without nulls is expected (fills run first); after a null the result is null.
+    For closes without gaps, in the one pass of ``engineer``; ``averages`` takes any.
     """
     keys = series_keys(df)
     # the same sort order serves both windows
@@ -204,17 +205,13 @@ def bollinger(df: DataFrame, rows: int = 20) -> DataFrame:
 
 
 def ema(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
-    reach = ema_reach(span)
-
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return blend(with_slots(d, w, reach), {out: (column, span)}, reach).drop(*SLOTS)
-
-    return over_series(df, reach, build)
+    """The exponential average of a column; missing values take no part in it but let time pass."""
+    return with_averages(df, column, {out: span})
 
 
 def macd(df: DataFrame) -> DataFrame:
-    reach = ema_reach(26)
-    return over_series(df, MACD_REACH, lambda d, w: with_macd(with_slots(d, w, reach), reach).drop(*SLOTS))
+    """MACD of the closes, its signal line and their difference, over gaps as well."""
+    return with_convergence(df)
 
 
 def technical_features(df: DataFrame) -> DataFrame:
@@ -259,12 +256,17 @@ def evaluation_features(df: DataFrame) -> DataFrame:
     return filled.na.fill(0.0)
 
 
-def engineer(df: DataFrame, drop_incomplete: bool = True, with_volume: bool | None = None) -> DataFrame:
+def engineer(
+    df: DataFrame, drop_incomplete: bool = True, with_volume: bool | None = None, gaps: bool | None = None
+) -> DataFrame:
     """All indicator groups on one exchange, then only complete rows.
 
     Groups whose inputs are missing are left out. Volume counts as missing when it is null
     throughout (``with_volume``, looked up unless given), so that it does not empty the table.
+    Closes with ``gaps`` (looked up unless given) get their averages in passes of their own.
     """
+    if gaps is None:
+        gaps = not df.filter(F.col("Close").isNull()).isEmpty()
     if with_volume is None:
         with_volume = needs(df, "Volume") and not df.filter(F.col("Volume").isNotNull()).isEmpty()
 
@@ -284,9 +286,11 @@ def engineer(df: DataFrame, drop_incomplete: bool = True, with_volume: bool | No
             }
         )
         d = d.withColumns({**volatility_columns(d, w), **strength_columns(w, 14)})
-        return with_bands(with_rsi(with_macd(d, reach))).drop(*SLOTS)
+        return with_bands(with_rsi(d if gaps else with_macd(d, reach))).drop(*SLOTS)
 
-    featured = over_series(df, MACD_REACH + LONGEST_WINDOW, build)
+    featured = over_series(df, LONGEST_WINDOW if gaps else MACD_REACH + LONGEST_WINDOW, build)
+    if gaps:
+        featured = with_convergence(featured)
     return drop_missing(featured, ignore=[] if with_volume else ["Volume"]) if drop_incomplete else featured
 
 

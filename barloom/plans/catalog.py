@@ -302,6 +302,12 @@ def macd(spark, sf_dir):
     return with_new(features.macd(daily(spark, sf_dir)), *MACD)
 
 
+@query
+def macd_gaps(spark, sf_dir):
+    """Of closes with missing values, left as they are."""
+    return with_new(features.macd(deduped(spark, sf_dir)), *MACD)
+
+
 @query
 def date_features(spark, sf_dir):
     return with_new(features.date_features(daily(spark, sf_dir)), "day_of_week", "month", "quarter")

@@ -254,6 +254,25 @@ averages AS (
 MACD = {"MACD": "fast - slow", "MACD_Signal": "signal", "MACD_Hist": "fast - slow - signal"}
 ORACLE["ema"] = f"WITH RECURSIVE {BARS}, {recursion('bars')} SELECT Symbol, Date, {rounded({'EMA12': 'fast'})} FROM averages"
 ORACLE["macd"] = f"WITH RECURSIVE {BARS}, {recursion('bars')} SELECT Symbol, Date, {rounded(MACD)} FROM averages"
+
+
+def gap_recursion(source: str) -> str:
+    """The averages row by row where closes may be missing: rows since the last value weigh it down."""
+    met = lambda y, k, x, n: (
+        f"CASE WHEN {x} IS NULL THEN {y} WHEN {y} IS NULL THEN {x} "
+        f"ELSE ({y} * pow({n - 1}.0 / {n + 1}, {k}) + {x} * 2.0 / {n + 1}) / (pow({n - 1}.0 / {n + 1}, {k}) + 2.0 / {n + 1}) END"
+    )
+    fast, slow = met("a.fast", "a.k", "o.Close", 12), met("a.slow", "a.k", "o.Close", 26)
+    return f"""ordered AS (SELECT Symbol, Date, Close, row_number() {W} AS rn FROM {source}),
+averages AS (
+  SELECT Symbol, Date, rn, 1 AS k, Close AS fast, Close AS slow, CASE WHEN Close IS NOT NULL THEN CAST(0 AS DOUBLE) END AS signal FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT Symbol, Date, rn, k, fast, slow, CASE WHEN signal IS NULL THEN fast - slow ELSE 0.2 * (fast - slow) + 0.8 * signal END FROM (
+    SELECT o.Symbol, o.Date, o.rn, CASE WHEN o.Close IS NULL THEN a.k + 1 ELSE 1 END AS k, {fast} AS fast, {slow} AS slow, a.signal
+    FROM averages a JOIN ordered o ON o.Symbol = a.Symbol AND o.rn = a.rn + 1))"""
+
+
+ORACLE["macd_gaps"] = f"WITH RECURSIVE {DEDUPED}, {gap_recursion('deduped')} SELECT Symbol, Date, {rounded(MACD)} FROM averages"
 ORACLE["date_features"] = f"""WITH {BARS}
 SELECT Symbol, Date, CAST(isodow(Date) - 1 AS INTEGER) AS day_of_week, CAST(month(Date) AS INTEGER) AS month,
        CAST(quarter(Date) AS INTEGER) AS quarter

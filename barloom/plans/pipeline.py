@@ -23,7 +23,8 @@ def process(df: DataFrame, method: str = "ffill", engineer_features: bool = True
     longest, volumes = per_symbol.agg(F.max("rows"), F.sum("volumes")).first()
     cleaned = clean(df, method, fits=(longest or 0) <= max_rows(df.sparkSession))
     if engineer_features:
-        cleaned = engineer(cleaned, with_volume=bool(volumes))
+        # these fills leave missing values at the ends of a series, the others none but in empty ones
+        cleaned = engineer(cleaned, with_volume=bool(volumes), gaps=method in ("pad", "back"))
     return merge_blocks(cleaned)
 
 

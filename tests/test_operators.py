@@ -103,6 +103,30 @@ def test_ema_matches_recursion(spark, span):
     assert np.allclose(got, expected, rtol=1e-12)
 
 
+@pytest.mark.parametrize("span", [1, 2, 9, 26, 200])
+@pytest.mark.parametrize("missing", [0.05, 0.5, 0.98])
+def test_ema_passes_gaps_as_pandas_does(spark, span, missing):
+    rng = np.random.default_rng(span)
+    closes = 100 + np.cumsum(rng.normal(0, 1, 3000))
+    closes[rng.random(3000) < missing] = np.nan
+    closes[:5], closes[1000:1400] = np.nan, np.nan
+    expected = pd.Series(closes).ewm(span=span, adjust=False).mean()
+    got = column(features.ema(bars(spark, [None if np.isnan(x) else float(x) for x in closes]), "Close", span, "E"), "E")
+    assert got[:5] == [None] * 5
+    assert np.allclose(np.array(got, dtype=float), expected, rtol=1e-10, equal_nan=True)
+
+
+def test_macd_of_one_missing_close(spark):
+    closes = [100 + (i * 7 % 11) + 0.5 for i in range(60)]
+    whole = column(features.macd(bars(spark, closes)), "MACD_Signal")
+    closes[20] = None
+    frame = pd.Series(closes, dtype=float)
+    line = frame.ewm(span=12, adjust=False).mean() - frame.ewm(span=26, adjust=False).mean()
+    got = column(features.macd(bars(spark, closes)), "MACD_Signal")
+    assert np.allclose(got, line.ewm(span=9, adjust=False).mean()) and np.allclose(got[:20], whole[:20])
+    assert column(features.engineer(bars(spark, closes), drop_incomplete=False), "MACD_Signal") == pytest.approx(got)
+
+
 def test_date_features(spark):
     row = features.date_features(bars(spark, [1.0], start="2024-05-05")).first()
     assert (row["day_of_week"], row["month"], row["quarter"]) == (6, 5, 2)

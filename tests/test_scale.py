@@ -52,6 +52,9 @@ OPERATORS = {
     "volume": features.volume_features,
     "volatility": features.volatility_features,
     "technical": lambda d: features.technical_features(cleaning.fill(d)),
+    "macd with gaps": features.macd,
+    "ema with gaps": lambda d: features.ema(d, "Close", 40, "E"),
+    "all with gaps": lambda d: features.engineer(d, drop_incomplete=False),
     "eda": features.eda_features,
     "evaluation": features.evaluation_features,
     "change": explain.with_change,
