@@ -22,33 +22,33 @@ from barloom.session import cut_lineage
 
 #: Nats per chunk; a step that keeps less than e^-FORGET of the average keeps nothing.
 WIDTH, FORGET = 64, 800
-#: Steps after gaps are counted in integers of so many parts of a nat, so that their sums lose nothing.
-UNIT = 1 << 42
+#: Chunks are cut by sums of integers, so many to a nat, which are the same however often they are taken.
+COARSE = 1 << 20
 
 
 def chain(df: DataFrame, keys: list[str], by: str, ones: str, rest: str, term: str, rate: float, out: str) -> DataFrame:
-    """Add ``out``: ``y[t] = term[t] + exp(-(ones[t] * rate + rest[t] / UNIT)) * y[t-1]`` along ``by``.
+    """Add ``out``: ``y[t] = term[t] + exp(-(ones[t] * rate + rest[t])) * y[t-1]`` along ``by``.
 
-    A null term adds nothing; before the first term ``y`` is null. Also adds the sums of ``ones`` and ``rest`` so far as
-    ``{out}_ones`` and ``{out}_rest``.
+    ``ones`` is 0 or 1. A null term adds nothing; before the first term ``y`` is null. Also adds ``{out}_nats``, the sum
+    of the exponents so far, or ``FORGET`` where it is so large that nothing before is felt.
     """
-    n, r, chunk, local, before = (f"{out}_{x}" for x in ("ones", "rest", "chunk", "local", "before"))
+    chunk, since, local, before, first = (f"{out}_{x}" for x in ("chunk", "since", "local", "before", "first"))
+    lost = F.col(ones) * F.lit(rate) + F.col(rest)
     upto = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({n: F.sum(ones).over(upto), r: F.sum(rest).over(upto)})
-    fallen = F.col(n) * F.lit(round(rate * UNIT)) + F.col(r)
-    df = df.withColumn(chunk, F.floor(fallen / F.lit(WIDTH * UNIT)))
-    along = Window.partitionBy(*keys, chunk).orderBy(by)
-    within = along.rowsBetween(Window.unboundedPreceding, 0)
-    nats = lambda a, b: (F.col(n) - a) * F.lit(rate) + (F.col(r) - b) / F.lit(float(UNIT))
-    since = nats(F.first(n).over(within), F.first(r).over(within))
-    df = df.withColumn(f"{out}_since", since)
-    df = df.withColumn(local, F.exp(-F.col(f"{out}_since")) * F.sum(F.col(term) * F.exp(f"{out}_since")).over(within))
+    df = df.withColumn(chunk, F.floor(F.sum(F.floor(lost * COARSE)).over(upto) / F.lit(WIDTH * COARSE)))
+    within = Window.partitionBy(*keys, chunk).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*keys).orderBy(chunk, by)
+    # the step into a chunk is kept apart, so that sums inside one stay small and exact
+    df = df.withColumn(first, ~F.lag(chunk).over(along).eqNullSafe(F.col(chunk)))
+    inside = lambda c: F.sum(F.when(F.col(first), F.lit(0.0)).otherwise(F.col(c))).over(within)
+    df = df.withColumn(since, inside(ones) * F.lit(rate) + inside(rest))
+    df = df.withColumn(local, F.exp(-F.col(since)) * F.sum(F.col(term) * F.exp(since)).over(within))
     # the last row of the chunk before, seen by every row of this one
-    last = F.lag(F.struct(n, r, local)).over(Window.partitionBy(*keys).orderBy(chunk, by))
-    df = df.withColumn(before, last)
-    df = df.withColumn(before, F.first(before).over(within))
-    carried = F.exp(-nats(F.col(f"{before}.{n}"), F.col(f"{before}.{r}"))) * F.col(f"{before}.{local}")
-    return df.withColumn(out, plus(F.col(local), carried)).drop(chunk, local, before, f"{out}_since")
+    df = df.withColumns({before: F.lag(local).over(along), f"{out}_nats": F.col(since) + F.first(lost).over(within)})
+    carried = F.exp(-F.col(f"{out}_nats")) * F.first(before).over(within)
+    df = df.withColumn(out, plus(F.col(local), carried))
+    near = F.when(F.col(chunk) == 0, F.col(f"{out}_nats")).otherwise(float(FORGET))
+    return df.withColumn(f"{out}_nats", near).drop(chunk, since, local, before, first)
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -80,31 +80,25 @@ def average(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
     steady = valid & (k == 1) & F.lit(span > 1)
     df = df.withColumns(
         {
-            "_ones": F.when(steady, 1).otherwise(0).cast("bigint"),
-            "_rest": F.when(valid & ~first & ~steady, F.round(lost * UNIT).cast("bigint")).otherwise(F.lit(0).cast("bigint")),
+            "_ones": F.when(steady, 1).otherwise(0),
+            "_rest": F.when(valid & ~first & ~steady, lost).otherwise(0.0),
             "_term": F.when(first, x).when(steady, x * share).otherwise(x * share / (faded + share)),
         }
     ).drop("_seen")
     df = chain(df, series_keys(df), "_pos", "_ones", "_rest", "_term", rate, out)
     if is_split(df):
-        df = across_blocks(cut_lineage(df), rate, out)
-    return df.drop("_ones", "_rest", "_term", f"{out}_ones", f"{out}_rest")
+        df = across_blocks(cut_lineage(df), out)
+    return df.drop("_ones", "_rest", "_term", f"{out}_nats")
 
 
-def across_blocks(df: DataFrame, rate: float, out: str) -> DataFrame:
+def across_blocks(df: DataFrame, out: str) -> DataFrame:
     """Add to the averages of each block what the blocks before leave of theirs."""
-    ones, rest = f"{out}_ones", f"{out}_rest"
-    ends = df.groupBy("Symbol", BLOCK).agg(F.max_by(out, F.when(F.col(out).isNotNull(), F.col("_pos"))).alias("_term"), F.max(ones).alias("_ones"), F.max(rest).alias("_rest"))
-    # more than the chain can feel counts as just that
-    nats = F.col("_ones") * F.lit(rate) + F.col("_rest") / F.lit(float(UNIT))
-    far = nats >= FORGET
-    ends = ends.withColumn("_far", far).withColumns(
-        {"_ones": F.when(F.col("_far"), 0).otherwise(F.col("_ones")).cast("bigint"), "_rest": F.when(F.col("_far"), FORGET * UNIT).otherwise(F.col("_rest")).cast("bigint")}
-    )
-    blocks = chain(ends, ["Symbol"], BLOCK, "_ones", "_rest", "_term", rate, "_whole")
+    nats = f"{out}_nats"
+    known = F.when(F.col(out).isNotNull(), F.col("_pos"))
+    ends = df.groupBy("Symbol", BLOCK).agg(F.max_by(out, known).alias("_term"), F.max(nats).alias("_rest")).withColumn("_ones", F.lit(0))
+    blocks = chain(ends, ["Symbol"], BLOCK, "_ones", "_rest", "_term", 0.0, "_whole")
     prior = blocks.select("Symbol", BLOCK, F.lag("_whole").over(Window.partitionBy("Symbol").orderBy(BLOCK)).alias("_prior"))
-    left = F.exp(-(F.col(ones) * F.lit(rate) + F.col(rest) / F.lit(float(UNIT)))) * F.col("_prior")
-    return df.join(prior, ["Symbol", BLOCK]).withColumn(out, plus(F.col(out), left)).drop("_prior")
+    return df.join(prior, ["Symbol", BLOCK]).withColumn(out, plus(F.col(out), F.exp(-F.col(nats)) * F.col("_prior"))).drop("_prior")
 
 
 def with_averages(df: DataFrame, column: str, spans: dict[str, int]) -> DataFrame:
