@@ -10,24 +10,24 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import name
 from barloom.operators.cleaning import fill
 from barloom.operators.layout import over_series
-from barloom.operators.quantiles import exact_quantiles
+from barloom.operators.quantiles import exact_quantiles, ranked_values
+from barloom.session import cut_lineage
 
 # Confidence tiers, percentile limits and range multiple of the reason rules.
 HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 0.8, 0.6
 HIGH_PERCENTILE, LOW_PERCENTILE = 95, 5
 RANGE_MULTIPLE = 2
 CLUSTER_DAYS = 3
-# The text per reason code; the number is the value of the reason.
+#: What a reason says; the number is its value.
 REASON_TEXT = {
-    "price_high": "Unusually high price (top %.1f%%)",
-    "price_low": "Unusually low price (bottom %.1f%%)",
-    "volume_high": "Extremely high trading volume (top %.1f%%)",
-    "volume_low": "Unusually low trading volume (bottom %.1f%%)",
-    "wide_range": "High volatility (daily range %.1fx normal)",
-    "pattern": "Unusual pattern detected across multiple features",
+    "price_high": "close is in the highest %.1f%% of all rows",
+    "price_low": "close is in the lowest %.1f%% of all rows",
+    "volume_high": "volume is in the highest %.1f%% of all rows",
+    "volume_low": "volume is in the lowest %.1f%% of all rows",
+    "wide_range": "high and low are %.1f times as far apart as on average",
+    "pattern": "no feature stands out alone, their combination does",
 }
 EXPLAINED = 10
-RANK_CHUNK = 100
 
 
 def anomalies(df: DataFrame) -> DataFrame:
@@ -44,10 +44,13 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def ranking(df: DataFrame) -> list[Column]:
+    return [F.col("anomaly_score").desc(), *[F.col(c) for c in ("Symbol", "Date") if c in df.columns]]
+
+
 def ranked(df: DataFrame, k: int | None = 20) -> DataFrame:
     """Flagged rows, most anomalous first; all of them when ``k`` is None."""
-    order = [F.col("anomaly_score").desc(), *[c for c in ("Symbol", "Date") if c in df.columns]]
-    rows = anomalies(df).orderBy(*order)
+    rows = anomalies(df).orderBy(*ranking(df))
     return rows if k is None else rows.limit(k)
 
 
@@ -105,29 +108,24 @@ def price_position(df: DataFrame) -> DataFrame:
     return marked.agg(share("above").alias("high_price_pct"), share("below").alias("low_price_pct"))
 
 
-def percentile_ranks(df: DataFrame, column: str, values: Sequence[float]) -> dict[float, float]:
-    """Mean percentile rank among the rows of ``df`` of each of a few values.
+def with_percentile_rank(rows: DataFrame, df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add to ``rows`` the mean percentile rank of their ``column`` among all rows of ``df``.
 
-    Every value is two counts in one aggregation; long lists are taken in parts.
+    Values of ``df`` are counted and summed up in order once, whatever the number of rows asked about.
     """
-    distinct = sorted(set(values))
-    ranks: dict[float, float] = {}
-    for at in range(0, len(distinct), RANK_CHUNK):
-        part = distinct[at : at + RANK_CHUNK]
-        counts = [F.count_if(F.col(column) < F.lit(v)) for v in part]
-        counts += [F.count_if(F.col(column) <= F.lit(v)) for v in part]
-        row = df.agg(F.count(column), *counts).first()
-        for i, v in enumerate(part):
-            below, upto = row[1 + i], row[1 + len(part) + i]
-            ranks[v] = (below + upto + (1 if below < upto else 0)) * 50.0 / row[0]
-    return ranks
+    table = ranked_values(df, column)
+    total = F.lit(df.agg(F.count(name(column))).first()[0])
+    ranks = table.select(F.col("value").alias("_value"), ((F.col("below") + F.col("upto") + 1) * 50.0 / total).alias(out))
+    return rows.join(ranks, F.col(column).cast("double") == F.col("_value"), "left").drop("_value")
 
 
-def looked_up(column: str, ranks: dict[float, float]) -> Column:
-    if not ranks:
-        return F.lit(None).cast("double")
-    pairs = [F.lit(x) for v, r in ranks.items() for x in (v, r)]
-    return F.try_element_at(F.create_map(*pairs), F.col(column))
+def percentile_ranks(df: DataFrame, column: str, values: Sequence[float]) -> dict[float, float]:
+    """Mean percentile rank among the rows of ``df`` of each of a few values, which need not occur in it."""
+    distinct = sorted(set(values))
+    counts = [f(F.col(column), F.lit(v)) for v in distinct for f in (lambda c, v: F.count_if(c < v), lambda c, v: F.count_if(c <= v))]
+    row = df.agg(F.count(column), *counts).first()
+    pairs = {v: (row[1 + 2 * i], row[2 + 2 * i]) for i, v in enumerate(distinct)}
+    return {v: (below + upto + (1 if below < upto else 0)) * 50.0 / row[0] for v, (below, upto) in pairs.items()}
 
 
 def confidence(score: Column) -> Column:
@@ -144,31 +142,23 @@ def with_change(df: DataFrame) -> DataFrame:
     return over_series(df, 1, build)
 
 
-def explain_top(df: DataFrame, features: Sequence[str], k: int = EXPLAINED) -> DataFrame:
-    """The ``k`` top anomalies with confidence, change and reasons.
+def explain_top(df: DataFrame, features: Sequence[str], k: int | None = EXPLAINED) -> DataFrame:
+    """The ``k`` top anomalies, or all of them, with confidence, change and reasons.
 
-    Rules for price, volume and range apply only to selected features. The k rows are
-    a report: their values become constants of one pass over the table.
+    Rules for price, volume and range apply only to selected features.
     """
     uses_volume = "Volume" in features and "Volume" in df.columns
     uses_range = {"High", "Low"} <= set(features) and {"High", "Low"} <= set(df.columns)
     kept = [c for c in ("Symbol", "Date", "Open", "High", "Low", "Close", "Volume", "anomaly_score") if c in df.columns]
-    top = ranked(with_change(df), k).select(*kept, "change_pct")
-    rows = top.collect()
-    top = df.sparkSession.createDataFrame(rows, top.schema)
+    top = cut_lineage(ranked(with_change(df), k).select(*kept, "change_pct"))
 
     rules = []
-
-    def percentile_rules(column: str, prefix: str) -> None:
-        ranks = percentile_ranks(df, column, [r[column] for r in rows if r[column] is not None])
-        rank = looked_up(column, ranks)
-        rules.append((f"{prefix}_high", rank > HIGH_PERCENTILE, 100 - rank))
-        rules.append((f"{prefix}_low", rank < LOW_PERCENTILE, rank))
-
-    if "Close" in features:
-        percentile_rules("Close", "price")
-    if uses_volume:
-        percentile_rules("Volume", "volume")
+    for column, prefix, wanted in (("Close", "price", "Close" in features), ("Volume", "volume", uses_volume)):
+        if wanted:
+            top = with_percentile_rank(top, df, column, f"_{prefix}")
+            rank = F.col(f"_{prefix}")
+            rules.append((f"{prefix}_high", rank > HIGH_PERCENTILE, 100 - rank))
+            rules.append((f"{prefix}_low", rank < LOW_PERCENTILE, rank))
     if uses_range:
         mean = df.agg(F.avg(F.col("High") - F.col("Low"))).first()[0]
         multiple = F.try_divide(F.col("High") - F.col("Low"), F.lit(mean).cast("double"))
@@ -197,4 +187,5 @@ def explain_top(df: DataFrame, features: Sequence[str], k: int = EXPLAINED) -> D
         )
     )
     reasons = F.when(F.size(found) > 0, found).otherwise(generic) if rules else generic
-    return top.withColumns({"confidence": confidence(F.col("anomaly_score")), "reasons": reasons})
+    told = top.withColumns({"confidence": confidence(F.col("anomaly_score")), "reasons": reasons}).drop("_price", "_volume")
+    return told.orderBy(*ranking(told))

@@ -98,9 +98,10 @@ def split(df: DataFrame) -> DataFrame:
     if is_split(df):
         return df
     blocks = max(2, math.ceil(df.count() / max_rows(df.sparkSession)))
-    # rows of one date may part, too
+    # rows of one date may part, too: where windows would part them
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = tied.repartitionByRange(blocks, "Symbol", "Date", "_tie").withColumn(BLOCK, F.spark_partition_id())
+    order = [c for c in ("Symbol", "Date", "_row", "_tie") if c in tied.columns]
+    ranged = tied.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id())
     return cut_lineage(ranged.drop("_tie"))
 
 
@@ -138,7 +139,8 @@ def with_position(df: DataFrame) -> DataFrame:
 
 def with_history(df: DataFrame, rows: int) -> DataFrame:
     """Copy into each block the ``rows`` rows before it, marked by ``_halo``."""
-    newest_first = Window.partitionBy("Symbol", BLOCK).orderBy(F.col("Date").desc())
+    numbered = [F.col("_row").desc_nulls_last()] if "_row" in df.columns else []
+    newest_first = Window.partitionBy("Symbol", BLOCK).orderBy(F.col("Date").desc(), *numbered)
     tails = df.withColumn("_from_end", F.row_number().over(newest_first)).filter(F.col("_from_end") <= rows)
 
     # A block's tail serves every later block that starts fewer than `rows` rows after it:

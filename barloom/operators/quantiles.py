@@ -1,9 +1,10 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` gathers the values of a group in one task. That is fine up to a bound; for
-larger groups the wanted order statistics are found by narrowing: a sketch proposes
-bucket edges, exact counts per bucket say which bucket holds the wanted rank, and only
-that bucket is looked at again, until it fits a task.
+``percentile`` gathers the values of a group in one task. That is fine up to a bound; in
+larger groups the wanted order statistics are found by radix selection: every double has a
+64-bit code of the same order, and each pass counts the next 16 bits of the values that
+still agree with a wanted rank's. Four passes settle any data; fewer do once what is left
+fits a task. Counts add up before their shuffle, so no value or group is hot.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from barloom.functions.columns import name, not_nan
 from barloom.operators.layout import max_rows
 from barloom.session import cut_lineage
 
-BUCKETS = 256
-STRIDE = 16
-SKETCH_ACCURACY = 10_000
+#: Bits a pass settles, of 64.
+DIGIT = 16
+#: Tables of at most so many rows (about 100 bytes each) are broadcast, larger ones joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -43,8 +45,7 @@ def exact_quantiles(
     if largest <= limit:
         return within_tasks(values, group, probabilities)
     sizes = cut_lineage(values.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
-    # at most (number of values / limit) groups are long, so their list may be broadcast
-    long = F.broadcast(sizes.filter(F.col("n") > limit))
+    long = sent(cut_lineage(sizes.filter(F.col("n") > limit)))
     small = within_tasks(values.join(long.select(*group), group, "left_anti"), group, probabilities)
     return small.unionByName(by_narrowing(values, long, group, probabilities, limit))
 
@@ -86,45 +87,66 @@ def by_narrowing(
     )
 
 
+def order_code(value: Column) -> Column:
+    """A bigint in the order of the doubles: exponent and mantissa as IEEE 754 lays them out, negated below zero.
+
+    0.0 and -0.0 share a code. All steps are exact: scaling by powers of two loses no bit.
+    """
+    size = F.abs(value)
+    two = lambda n: F.pow(F.lit(2.0), n)
+    # the logarithm may be off by one near powers of two; below the normal range the exponent stays -1022
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("double")
+    guess = F.when((guess > -1022) & (size < two(guess)), guess - 1).when((guess < 1023) & (size >= two(guess + 1)), guess + 1).otherwise(guess)
+    mantissa = size * two(-guess)
+    normal = size >= F.lit(2.0**-1022)
+    one = F.lit(float(1 << 52))
+    code = F.when(normal, (guess + 1022).cast("bigint") * F.lit(1 << 52) + (mantissa * one).cast("bigint")).otherwise((mantissa * one).cast("bigint"))
+    code = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(code)
+    return F.when(value < 0, -code).otherwise(code)
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """Mark a stored table for broadcast while it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def order_statistics(values: DataFrame, ranks: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
     """The ``rank``-th smallest value per group: rows of (group, rank, value).
 
-    Every open rank has a bracket of values; ranks that share one share the work. The
-    brackets are a few rows per long group and are broadcast.
+    Needs ``value``, and orders by ``_code`` where the values bring one. Ranks whose values agree so far share
+    one bracket of codes and its counts.
     """
-    bracket = [*group, "_lo", "_hi"]
-    probes = [i / BUCKETS for i in range(BUCKETS + 1)]
-    endless = F.lit(float("inf"))
-    state = cut_lineage(
-        ranks.select(*group, "rank", F.col("rank").alias("_need"), (-endless).alias("_lo"), endless.alias("_hi"))
-    )
-    widest = limit + 1
-    while widest > limit:
-        inside = within(values, state, bracket, group)
-        edges = inside.groupBy(*bracket).agg(F.percentile_approx("value", probes, SKETCH_ACCURACY).alias("_edges"))
-        edges = cut_lineage(edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % STRIDE == 0)))
-        counts = (
-            inside.join(F.broadcast(edges), bracket)
-            .groupBy(*bracket, bucket_of("value").alias("_bucket"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_from"), F.max("value").alias("_to"))
-        )
-        order = Window.partitionBy(*bracket).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    if "_code" not in values.columns:
+        values = values.withColumn("_code", order_code(F.col("value")))
+    bracket = [*group, "_prefix"]
+    state = cut_lineage(ranks.select(*group, "rank", F.col("rank").alias("_need"), F.lit(0).cast("bigint").alias("_prefix")))
+    settled = 64
+    while settled:
+        inside = within(values, state, bracket, group, settled)
+        settled -= DIGIT
+        counts = inside.groupBy(*bracket, F.shiftright("_code", settled).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        # at most 2^16 rows per bracket
+        order = Window.partitionBy(*bracket).orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
         state = cut_lineage(
-            containing(state.join(counts.withColumn("_upto", F.sum("_n").over(order)), bracket))
-            .withColumn("_need", F.col("_need") - (F.col("_upto") - F.col("_n")))
-            .select(*group, "rank", "_need", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), "_n")
+            containing(state.join(counts.withColumn("_upto", F.sum("_n").over(order)), bracket)).select(
+                *group, "rank", (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_need"), F.col("_next").alias("_prefix"), "_n"
+            )
         )
-        widest = state.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0
+        widest = state.agg(F.max("_n")).first()[0] or 0
         state = state.drop("_n")
-    copies = within(values, state, bracket, group).groupBy(*bracket, "value").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*bracket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        if widest <= limit:
+            break
+    copies = within(values, state, bracket, group, settled).groupBy(*bracket, "_code").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("value"))
+    order = Window.partitionBy(*bracket).orderBy("_code").rowsBetween(Window.unboundedPreceding, 0)
     found = containing(state.join(copies.withColumn("_upto", F.sum("_n").over(order)), bracket))
     return found.select(*group, "rank", "value")
 
 
-def within(values: DataFrame, state: DataFrame, bracket: Sequence[str], group: Sequence[str]) -> DataFrame:
-    brackets = state.select(*bracket).distinct()
-    return values.join(F.broadcast(brackets), list(group)).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
+def within(values: DataFrame, state: DataFrame, bracket: Sequence[str], group: Sequence[str], settled: int) -> DataFrame:
+    """The values whose codes agree with a bracket in all but the last ``settled`` bits."""
+    prefix = F.lit(0).cast("bigint") if settled == 64 else F.shiftright("_code", settled)
+    brackets = cut_lineage(state.select(*bracket).distinct())
+    return values.withColumn("_prefix", prefix).join(sent(brackets), bracket)
 
 
 def containing(counted: DataFrame) -> DataFrame:
@@ -132,11 +154,23 @@ def containing(counted: DataFrame) -> DataFrame:
     return counted.filter((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
 
 
-def bucket_of(value: str) -> Column:
-    """How many edges are at most the value, found among every 16th and then the next 16."""
-    upto = lambda edges: F.size(F.filter(edges, lambda edge: edge <= F.col(value)))
-    skipped = (F.greatest(upto(F.col("_coarse")), F.lit(1)) - 1) * STRIDE
-    return skipped + upto(F.slice("_edges", skipped + 1, F.lit(STRIDE)))
+def ranked_values(df: DataFrame, column: str) -> DataFrame:
+    """Every distinct value with the rows below it and up to it: (value, below, upto).
+
+    Values are counted first, so copies never meet; the counts are range-partitioned and added up per
+    partition, and one row per partition says what lies before it.
+    """
+    counts = df.select(not_nan(name(column)).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    order = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.sum("_n")).collect())  # one row per partition
+    starts, before = [], 0
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    placed = ranged.withColumn("upto", F.sum("_n").over(order)).join(F.broadcast(starts), "_part")
+    return placed.select("value", (F.col("upto") - F.col("_n") + F.col("_start")).alias("below"), (F.col("upto") + F.col("_start")).alias("upto"))
 
 
 def table_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:

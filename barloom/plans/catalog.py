@@ -549,6 +549,15 @@ def explain_top(spark, sf_dir):
     return shown(told, 6)
 
 
+@query
+def explain_all(spark, sf_dir):
+    """Every anomaly with the numbers and the words of its reasons."""
+    told = explain.explain_top(scored(spark, sf_dir), OHLCV, None)
+    said = F.transform("reasons", lambda r: F.concat_ws(" ", r["code"], F.format_string("%.3f", r["value"]), r["text"]))
+    told = told.withColumn("reasons", F.when(F.get("reasons", F.lit(0))["code"] == "pattern", F.get("reasons", F.lit(0))["text"]).otherwise(F.array_join(said, "; ")))
+    return shown(told.select("Symbol", "Date", "anomaly_score", "confidence", "reasons"), 6)
+
+
 # --- comparison and evaluation ------------------------------------------------------
 
 
@@ -587,6 +596,12 @@ def synthetic_labels(spark, sf_dir):
     return labelled.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_labelled"))
 
 
+@query
+def synthetic_label_keys(spark, sf_dir):
+    """Which rows are labelled."""
+    return with_new(evaluate.synthetic_labels(daily(spark, sf_dir), 0.05, seed=7).filter("label = 1"), "label")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three simple detectors of toxic documents, by length and by quality label."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")

@@ -490,6 +490,29 @@ SELECT Symbol, Date, {rounded(['Close', 'anomaly_score', 'change_pct'], 6)},
        CASE WHEN found = '' THEN 'pattern' ELSE found END AS reasons
 FROM told"""
 
+def said(code: str, value: str, text: str) -> str:
+    """A reason with its number and words where its test holds."""
+    return f"printf('%s %.3f ', '{code}', {value}) || printf('{text}', {value})"
+
+
+REASONS = {
+    "price_high": ("pr > 95", "100 - pr", "close is in the highest %.1f%% of all rows"),
+    "price_low": ("pr < 5", "pr", "close is in the lowest %.1f%% of all rows"),
+    "volume_high": ("vr > 95", "100 - vr", "volume is in the highest %.1f%% of all rows"),
+    "volume_low": ("vr < 5", "vr", "volume is in the lowest %.1f%% of all rows"),
+    "wide_range": ("wide > 2", "wide", "high and low are %.1f times as far apart as on average"),
+}
+WORDED = ", ".join(f"CASE WHEN {test} THEN {said(code, value, text)} END" for code, (test, value, text) in REASONS.items())
+ORACLE["explain_all"] = f"""WITH {SCORED},
+c AS (SELECT * FROM scored WHERE is_anomaly = 1),
+ranks AS (SELECT c.*, {rank_of('Close')} AS pr, {rank_of('Volume')} AS vr,
+          (High - Low) / (SELECT avg(High - Low) FROM scored) AS wide FROM c),
+told AS (SELECT *, concat_ws('; ', {WORDED}) AS found FROM ranks)
+SELECT Symbol, Date, {rounded(['anomaly_score'], 6)},
+       CASE WHEN anomaly_score > 0.8 THEN 'High' WHEN anomaly_score > 0.6 THEN 'Medium' ELSE 'Low' END AS confidence,
+       CASE WHEN found = '' THEN 'no feature stands out alone, their combination does' ELSE found END AS reasons
+FROM told"""
+
 # --- comparison and evaluation ------------------------------------------------------
 
 ORACLE["compare_configs"] = f"WITH {SCORED} " + " UNION ALL ".join(
@@ -506,6 +529,10 @@ SELECT Symbol, Date, CASE WHEN nth <= floor((SELECT count(*) FROM bars) * 0.8) T
 FROM placed"""
 ORACLE["synthetic_labels"] = f"""WITH {BARS}
 SELECT count(*) AS n_rows, CAST(greatest(1, floor(count(*) * 0.02)) AS BIGINT) AS n_labelled FROM bars"""
+ORACLE["synthetic_label_keys"] = f"""WITH {BARS},
+hashed AS (SELECT *, CAST('0x' || substr(md5('7|' || Symbol || '|' || strftime(Date, '%Y-%m-%d %H:%M:%S.%f')), 1, 15) AS BIGINT) AS h FROM bars)
+SELECT Symbol, Date, CAST(1 AS INTEGER) AS label FROM hashed
+QUALIFY row_number() OVER (ORDER BY h, Symbol, Date) <= (SELECT greatest(1, floor(count(*) * 0.05)) FROM bars)"""
 JUDGED = """judged AS (
   SELECT model, label, predicted FROM (
     SELECT toxic AS label, n_chars > 3000 AS long, n_chars < 500 AS short, quality = 0 AS quality

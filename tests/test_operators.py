@@ -239,7 +239,7 @@ def test_reasons(spark):
     df = df.withColumn("is_anomaly", (F.col("Close") > 400).cast("int"))
     row = explain.explain_top(df, ["Close", "Volume"]).first()
     assert row["confidence"] == "High" and [r["code"] for r in row["reasons"]] == ["price_high"]
-    assert row["reasons"][0]["text"] == "Unusually high price (top 0.0%)"
+    assert row["reasons"][0]["text"] == "close is in the highest 0.0% of all rows"
     assert row["change_pct"] == pytest.approx((500 - 101) / 101 * 100)
     assert explain.explain_top(df, []).first()["reasons"][0]["code"] == "pattern"
     assert explain.percentile_ranks(df, "Close", [100.0, 500.0]) == {100.0: pytest.approx((0 + 15 + 1) * 50 / 101), 500.0: 100.0}
