@@ -80,8 +80,9 @@ def _first_step(words: int, percent: int):
             if not len(rows):
                 continue
             half = [-(-_prefix(len(s), percent) // 2) for s in sets]
-            # copies within a task speak for each other
-            fresh = [not (k in told or told.add(k)) for k in keys]
+            # copies within a task speak for each other; rows without an id link with nothing and speak for none
+            named = rows["doc_id"].notna().to_numpy()
+            fresh = [bool(n) and not (k in told or told.add(k)) for n, k in zip(named, keys, strict=True)]
             heads = [s[: _prefix(len(s), percent) + k - 1] if f else s[:0] for s, k, f in zip(sets, half, fresh, strict=True)]
             yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": keys, "least": half, "head": heads})
 
@@ -128,7 +129,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
     """Index entries of every class that can have a partner: entry, id, n, left (its tokens that others have)."""
-    postings = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
+    postings = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = postings.join(shared, "token")
     docs = known.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")).withColumn("left", F.size("ranked"))
@@ -186,9 +187,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     schema = "doc_id long, n int, key binary, least int, head array<long>"
     seen = cut_lineage(source.mapInPandas(_first_step(words, percent), schema).withColumn("class", F.xxhash64("key")))
     heads = seen.where("key is not null and doc_id is not null").select("key", "class", "least", F.explode("head").alias("token"))
-    postings = heads.repartition("token")
-    often = postings.groupBy("token").agg((F.min("class") != F.max("class")).alias("met")).where("met").select("token")
-    counted = postings.join(often, "token", "left_semi").groupBy("key", "least").agg(F.countDistinct("token").alias("k"))
+    # counted within tasks first, so that a frequent token is a few rows when it meets
+    often = heads.groupBy("token").agg((F.min("class") != F.max("class")).alias("met")).where("met").select("token")
+    counted = heads.join(often, "token", "left_semi").groupBy("key", "least").agg(F.countDistinct("token").alias("k"))
     chosen = cut_lineage(counted.where("k >= least").select("key"))
     marks = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen))
     found = source.where("doc_id is not null").mapInPandas(_marked_sets(words, marks), "key binary, tokens array<long>")
@@ -201,7 +202,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     labels = named.join(least, "component").select(F.col("class").alias("of"), "component_id")
     mine = F.col("doc_id").isNotNull() & F.col("key").isNotNull()
     # rows without a class get one of their own, so that they don't meet in one task
-    out = seen.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(mine, F.col("class")).otherwise(F.xxhash64(F.lit("alone"), "doc_id")).alias("class"), mine.alias("mine"))
+    out = seen.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(mine, F.col("class")).otherwise(F.xxhash64(F.lit("alone"), F.monotonically_increasing_id())).alias("class"), mine.alias("mine"))
     joined = out.join(labels, F.col("mine") & (F.col("class") == F.col("of")), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -231,3 +231,12 @@ def test_pipeline_on_odd_rows(spark, odd, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.count()
+
+
+def test_rows_without_an_id_hide_no_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    for rows in ([(None, text), (5, text), (6, text), (7, near)], [(7, near), (5, text), (6, text), (None, text)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(docs).collect()}
+        assert got == {None: None, 5: 5, 6: 5, 7: 5}
