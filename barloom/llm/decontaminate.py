@@ -57,18 +57,34 @@ def _similarity(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _whole_matches(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Items of fewer words than a shingle: a window is one shingle of as many words, so it is equal or has nothing in common."""
+    words = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), _listed(F.col("text")).alias("words"))
+    found = None
+    for m in lengths:
+        of = items.where(F.col("m") == m).select("item_id", F.get("item", F.lit(0)).alias("shingle")).distinct()
+        rows = words.where(F.size("words") >= m).select("doc_id", "tie", F.posexplode(_shingles("words", m)).alias("start", "shingle"))
+        rows = rows.groupBy("doc_id", "tie", "shingle").agg(F.min("start").cast("long").alias("start"))
+        some = rows.join(of, "shingle").select("doc_id", "tie", "item_id", "start", F.lit(m).alias("n_words"), F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The benchmark items that each document holds: doc_id, tie, item_id, start, n_words, hamming, similarity.
 
     ``start`` is the word where the best window begins, ``tie`` a hash of the text that tells rows of one doc_id apart.
     Null and empty texts hold nothing and are held by nothing. Equally similar windows: the first. Repeated documents
     give one row per item, repeated items one row each. A document shorter than an item is one window. Null ids stay.
+    Items of fewer than ``shingle`` words are found where all their words stand together.
     """
     if not 0 <= radius < BITS:
         raise ValueError("radius must be between 0 and 63")
     items = benchmark.select("item_id", _listed(F.col("text")).alias("words")).select("item_id", F.size("words").alias("m"), _shingles("words", shingle).alias("item"))
     items = cut_lineage(items.where("m > 0").distinct())
-    seeds = items.select("m", F.posexplode("item").alias("at", "shingle")).distinct()
+    short = sorted(r["m"] for r in items.where(F.col("m") < shingle).select("m").distinct().collect())  # fewer than a shingle's words
+    every, items = items, items.where(F.col("m") >= shingle).withColumn("item_key", F.xxhash64("item"))
+    seeds = items.select("m", "item_key", F.posexplode("item").alias("at", "shingle")).distinct()
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), _listed(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "tie", F.size("words").alias("n"), _shingles("words", shingle).alias("all"))
     # the outer form keeps the optimizer from testing the list, and so building it, a second time
@@ -77,28 +93,35 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE_
     window = F.slice("all", F.col("start") + 1, F.greatest(F.col("m") - (shingle - 1), F.lit(1)))
     if seeds.count() <= BROADCAST_SHINGLES:
         places = rows.select("*", at_all).join(F.broadcast(seeds), "shingle").withColumn("start", begin)
-        found = places.select("doc_id", "tie", "m", "start", window.alias("window")).distinct()
+        found = places.select("doc_id", "tie", "m", "start", "item_key", window.alias("window")).distinct()
     else:
         places = rows.select("doc_id", "tie", "n", at_all).join(seeds, "shingle")
-        places = places.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "m", begin.alias("start")).distinct()
-        found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).select("doc_id", "tie", "m", "start", window.alias("window")).distinct()
+        places = places.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "m", "item_key", begin.alias("start")).distinct()
+        found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).select("doc_id", "tie", "m", "start", "item_key", window.alias("window")).distinct()
     found = cut_lineage(found.withColumn("content", F.xxhash64("window")))
     distinct = found.select("m", "content", "window").dropDuplicates(["m", "content"])  # a passage that many documents share is judged once
     left = _bit_sums(distinct, ["m", "content"], "window")
-    right = _bit_sums(items.dropDuplicates(["item_id", "m", "item"]).withColumn("item_key", F.xxhash64("item")), ["item_id", "m", "item_key"], "item")
-    blocked = left.select("*", _blocks("simhash", radius).alias("block"))
-    against = right.select("item_id", "item_key", F.col("m").alias("im"), F.col("simhash").alias("is"), _blocks("simhash", radius).alias("iblock"))
-    met = blocked.join(against, (F.col("m") == F.col("im")) & (F.col("block") == F.col("iblock")))
+    right = _bit_sums(items.dropDuplicates(["m", "item_key"]), ["m", "item_key"], "item")
+    # a window meets the items it shares a shingle with, others can't be similar, and of these the ones that share a block
+    pairs = found.select("m", "content", "item_key").distinct().join(left, ["m", "content"])
+    blocked = pairs.select("*", _blocks("simhash", radius).alias("block"))
+    against = right.select(F.col("item_key").alias("ik"), F.col("m").alias("im"), F.col("simhash").alias("is"), _blocks("simhash", radius).alias("iblock"))
+    met = blocked.join(against, (F.col("m") == F.col("im")) & (F.col("item_key") == F.col("ik")) & (F.col("block") == F.col("iblock")))
     near = met.withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("is")))).where(F.col("hamming") <= radius)
-    near = near.select("m", "content", "item_id", "item_key", "hamming").distinct()
-    whole = items.select(F.col("item_id").alias("i"), F.xxhash64("item").alias("k"), "item").dropDuplicates(["i", "k"])
-    judged = near.join(distinct, ["m", "content"]).join(whole, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
+    near = near.select("m", "content", "item_key", "hamming").distinct()
+    whole = items.select(F.col("m").alias("im"), F.col("item_key").alias("k"), "item").dropDuplicates(["im", "k"])
+    judged = near.join(distinct, ["m", "content"]).join(whole, (F.col("m") == F.col("im")) & (F.col("item_key") == F.col("k")))
     sure = judged.withColumn("similarity", _similarity("window", "item")).where(F.col("similarity") >= similarity)
-    hits = found.select("doc_id", "tie", "m", "start", "content").join(sure.select("m", "content", "item_id", "hamming", "similarity"), ["m", "content"])
+    hits = found.select("doc_id", "tie", "m", "start", "content", "item_key").join(sure.select("m", "content", "item_key", "hamming", "similarity"), ["m", "content", "item_key"])
+    hits = hits.join(items.select("m", "item_key", "item_id").distinct(), ["m", "item_key"])
     best = Window.partitionBy("doc_id", "tie", "item_id").orderBy(F.desc("similarity"), "start")
-    return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(
+    out = hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(
         "doc_id", "tie", "item_id", F.col("start").cast("long").alias("start"), F.col("m").alias("n_words"), "hamming", "similarity"
     )
+    if not short:
+        return out
+    both = out.unionByName(_whole_matches(docs, every, short))
+    return both.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table, tree_search
@@ -116,9 +117,10 @@ def test_passages_without_a_broadcast_are_the_same(spark, sf_dir, monkeypatch):
 def test_passages_of_odd_rows(odd, empty, spark, odd_rows):
     items = spark.createDataFrame([(1, odd_rows[0][1]), (None, "another text with the same number"), (1, odd_rows[0][1])], "item_id long, text string")
     out = find_passages(odd, items).select("doc_id", "item_id").collect()
-    assert Counter(map(tuple, out)) == Counter([(1, 1), (2, 1)])
+    # an item without a number is an item like others
+    assert Counter(map(tuple, out)) == Counter([(1, 1), (2, 1), (8, None)])
     kept = drop_contaminated(odd, items)
-    assert kept.columns == odd.columns and kept.count() == len(odd_rows) - 3
+    assert kept.columns == odd.columns and kept.count() == len(odd_rows) - 4
     assert find_passages(empty, items).count() == 0 and find_passages(odd, items.limit(0)).count() == 0
     with pytest.raises(ValueError):
         find_passages(odd, items, radius=64)
@@ -131,3 +133,33 @@ def test_blocks_leave_no_pair_within_the_radius(spark):
     a = rows.select("simhash", "other", _blocks("simhash", 4).alias("b"))
     b = rows.select(F.col("other").alias("o"), _blocks("other", 4).alias("c"))
     assert a.join(b, (F.col("b") == F.col("c")) & (F.col("other") == F.col("o"))).select("simhash").distinct().count() == 200
+
+
+def test_short_items_are_found_inside_documents(spark):
+    docs = spark.createDataFrame([(1, "one two alpha beta gamma"), (2, "Alpha, beta"), (3, "gamma alpha beta gamma delta alpha beta gamma"), (None, "alpha beta gamma"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, "one two alpha beta gamma"), (4, "beta alpha")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["n_words"]) for r in find_passages(docs, items).collect()}
+    assert got == {(1, 1, 2, 3), (3, 1, 1, 3), (None, 1, 0, 3), (3, 2, 4, 1), (1, 3, 0, 5)}
+
+
+def test_passages_against_all_windows(spark, sf_dir):
+    """Every window of every document against every item: what the blocks of bits let pass is all there is."""
+    docs, items = table(spark, sf_dir, "documents").toPandas(), table(spark, sf_dir, "benchmark").toPandas()
+    split = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    bag = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4)))
+    listed = {i: split(t) for i, t in zip(items["item_id"], items["text"], strict=True)}
+    want = set()
+    for d, t in zip(docs["doc_id"], docs["text"], strict=True):
+        ws = split(t)
+        own = set(bag(ws)) if ws else set()
+        for i, item in listed.items():
+            need = bag(item)
+            if not own & set(need):
+                continue
+            for at in range(max(1, len(ws) - len(item) + 1)):
+                have = bag(ws[at : at + len(item)])
+                if sum((have & need).values()) >= 0.8 * sum((have | need).values()):
+                    want.add((d, i))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).collect()}
+    assert len(want) > 0 and got <= want and len(got) >= 0.99 * len(want)
