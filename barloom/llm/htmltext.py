@@ -29,9 +29,15 @@ from barloom.llm.wordtable import flat
 #: Bounds of the training sample: given pages, expected, and composed ones.
 GIVEN_PAGES, COMPOSED_PAGES = 150, 250
 BUCKETS, STEPS, RATE = 1 << 13, 300, 0.5
+#: Share of composed pages whose text lies in the body itself.
+BARE = 0.15
 
 # Element names of the HTML standard.
-SILENT = set("script style noscript template head title iframe svg math object canvas audio video select option button textarea".split())
+SILENT = set("script style noscript template head title iframe svg object canvas audio video select datalist option button textarea".split())
+HEAD_PARTS = set("title base basefont link meta script style noscript template".split())
+#: Silent elements that a part of the page ends where their own end is missing; others may well hold such parts.
+UNENDED = set("head title iframe object canvas audio video select datalist option button textarea".split())
+PAGE_PARTS = set("article main section aside nav header footer body h1 h2 h3 h4 h5 h6 p div ul ol table blockquote".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -56,6 +62,8 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.page, self.open, self.silent, self.links, self.parts = Page(), [0], [], 0, []
+        #: elements begun within silent ones, and how deep in formulas the text is
+        self.inner, self.formulas = [], 0
 
     def cut(self) -> None:
         """End the block of text that is being read."""
@@ -65,15 +73,26 @@ class _Reader(HTMLParser):
             self.page.blocks.append((self.open[-1], words))
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if self.silent:
-            if tag in SILENT and tag not in VOID:
+        if self.silent and not self.reopened(tag):
+            if tag in SILENT:
                 self.silent.append(tag)
+            elif tag not in VOID:
+                self.inner.append(tag)
             return
+        if tag == "math":
+            self.formulas += 1
+        if self.formulas and tag in PAGE_PARTS:
+            self.formulas = 0  # its end is missing
+        if self.formulas:
+            return  # a formula stands in its line
         if tag == "body":
             self.page.attributes[0] += _named(attrs)
+            self.page.marks[0] = _marked(attrs)
             return
         if tag in SILENT:
-            self.cut()
+            # what is not shown doesn't end the line it stands in
+            if tag in ("head", "title", "noscript", "template"):
+                self.cut()
             self.silent.append(tag)
         elif tag in VOID:
             if tag in ("br", "hr"):
@@ -88,14 +107,40 @@ class _Reader(HTMLParser):
                 self.open.pop()
             self.page.parents.append(self.open[-1])
             tags.append(tag)
-            mark = dict(attrs).get("data-main")
-            self.page.marks.append(int(mark) if mark in ("0", "1") else None)
+            self.page.marks.append(_marked(attrs))
             self.page.attributes.append(_named(attrs))
             self.page.text.append(0)
             self.page.linked.append(0)
             self.open.append(len(tags) - 1)
             self.links = 0 if tag in HOLDERS else self.links
 
+    def reopened(self, tag: str) -> bool:
+        """Whether a start tag shows that the silent elements around it lack their end tags."""
+        last = self.silent[-1]
+        if last == "option" and tag in ("option", "optgroup"):
+            self.silent.pop()
+            return False
+        unended = all(x in UNENDED for x in self.silent)
+        if unended and (tag == "body" or (self.silent == ["head"] and tag not in HEAD_PARTS) or (tag in PAGE_PARTS and not self.ended_later())):
+            self.silent, self.inner = [], []
+            return True
+        return False
+
+    def ended_later(self) -> bool:
+        """Whether the outermost silent element ends before another of its kind begins."""
+        name, rest = self.silent[0], self.rawdata[self.at_hand() :].lower()
+        end, again = rest.find(f"</{name}"), rest.find(f"<{name}")
+        return end >= 0 and (again < 0 or end < again)
+
+    def at_hand(self) -> int:
+        """Where in ``rawdata`` the parser stands."""
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def feed(self, data: str) -> None:
+        self.starts = [0, *[i + 1 for i, c in enumerate(data) if c == "\n"]]
+        super().feed(data)
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -106,8 +151,18 @@ class _Reader(HTMLParser):
             if tag in self.silent:
                 while self.silent.pop() != tag:
                     pass
-            elif tag in ("html", "body"):
-                self.silent = []
+                self.inner = self.inner if self.silent else []
+                return
+            if tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+                return
+            # the end of what holds the silent elements ends them as well
+            if tag not in ("html", "body") and tag not in (self.page.tags[i] for i in self.open[1:]):
+                return
+            self.silent, self.inner = [], []
+        if self.formulas:
+            self.formulas -= tag == "math"
             return
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
@@ -137,6 +192,12 @@ def _named(attrs) -> list[str]:
     return out
 
 
+def _marked(attrs) -> int | None:
+    """The label that a composed page carries."""
+    mark = dict(attrs).get("data-main")
+    return int(mark) if mark in ("0", "1") else None
+
+
 def read_page(html: str | None) -> Page:
     reader = _Reader()
     if html:
@@ -153,15 +214,17 @@ def _bucket(n: float) -> int:
 
 def _features(page: Page) -> list[list[int]]:
     n = len(page.tags)
-    text, linked, children = list(page.text), list(page.linked), [0] * n
+    text, linked, children, paragraphs = list(page.text), list(page.linked), [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         text[page.parents[i]] += text[i]
         linked[page.parents[i]] += linked[i]
         children[page.parents[i]] += 1
+        paragraphs[page.parents[i]] += page.tags[i] == "p"
     out = []
     for i, tag in enumerate(page.tags):
         parent = page.tags[page.parents[i]] if i else ""
         names = [f"tag={tag}", f"in={parent}>{tag}", f"text={_bucket(text[i])}", f"links={round(4 * linked[i] / max(1, text[i]))}", f"own={_bucket(page.text[i])}", *page.attributes[i]]
+        names.append(f"{tag} p={min(3, paragraphs[i])}")
         names.append(f"{tag} links={round(4 * linked[i] / max(1, text[i]))}")
         out.append([crc32(x.encode()) % BUCKETS for x in names])
     return out
@@ -297,6 +360,8 @@ def composed_page(rng: np.random.Generator) -> str:
                 one(*[f"<p>{say(1, 90)}</p>"] * 6, f"<p>{say(5, 30)} <a href='/y'>{say(1, 4)}</a> {say(2, 20)}</p>", f"<h2>{say(2, 7)}</h2>", f"<blockquote><p>{say(5, 40)}</p></blockquote>",
                     f"<ul><li>{say(2, 20)}</li><li>{say(2, 20)}</li></ul>", f"<pre>{say(4, 20)}</pre>", f"<table><tr><td>{say(1, 6)}</td><td>{say(1, 6)}</td></tr></table>", f"<div>{say(5, 60)}</div>", f"<section><h3>{say(2, 5)}</h3><p>{say(8, 60)}</p></section>", f"<figure><img src='a'><figcaption>{say(2, 12)}</figcaption></figure>")
             )
+            if rng.random() < 0.04:  # a paragraph of hundreds or thousands of words
+                parts.append(f"<p>{say(20, 60) * int(rng.integers(5, 60))}</p>")
             if rng.random() < 0.12:
                 parts.append(aside())
         return "".join(parts)
@@ -306,11 +371,14 @@ def composed_page(rng: np.random.Generator) -> str:
     tag = holder[1:].split()[0]
     names = one("", ' class="article body"', ' class="post"', ' class="entry content"', ' id="content"', ' class="story text"') if tag in ("article", "main") else one(' class="article body"', ' class="post"', ' class="entry content"', ' id="content"', ' class="story text"')
     core = holder.format(names) + body() + f"</{tag}>"
-    if rng.random() < 0.4:
+    bare = rng.random() < BARE
+    if bare:  # paragraphs that nothing holds but the page
+        core = "".join(f'<{one("p", "p", "p", "h2", "blockquote")}>{say(5, 60)}' for _ in range(int(rng.integers(1, 8))))
+    if not bare and rng.random() < 0.4:
         core = f'<div class="{one("wrapper", "container", "page", "row")}">{core}{aside() if rng.random() < 0.6 else ""}</div>'
     comments = one("", "", *[f'<{t} data-main="0" class="{c}"><h3>{say(1, 3)}</h3>' + "".join(f'<{u} class="{one("comment", "comment body", "reply")}"><p>{say(2, 40)}</p></{u}>' for _ in range(int(rng.integers(1, 5)))) + f"</{t}>" for t, c, u in (("section", "comments", "div"), ("div", "comments", "article"), ("div", "comment list", "div"))])
     end = [comments, one("", aside()), one(f'<footer data-main="0"><p>{say(3, 15)}</p>{one("", links(4))}</footer>', f'<footer data-main="0">{say(3, 25)}</footer>', f'<div data-main="0" class="footer">{say(3, 25)}</div>', "")]
-    return "<html><body>" + "".join(top) + (aside() if rng.random() < 0.4 else "") + core + "".join(end) + "</body></html>"
+    return ('<html><body data-main="1">' if bare else "<html><body>") + "".join(top) + (aside() if rng.random() < 0.4 else "") + core + "".join(end) + "</body></html>"
 
 
 def fit_pages(pages: DataFrame, given: int = GIVEN_PAGES, composed: int = COMPOSED_PAGES, seed: int = 0) -> PageModel:
@@ -328,7 +396,8 @@ def fit_pages(pages: DataFrame, given: int = GIVEN_PAGES, composed: int = COMPOS
 def extract_text(pages: DataFrame, model: PageModel) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A null or empty html, and a page without content, has the empty text. Broken markup is read as far as it goes.
+    A null or empty html, and a page without content, has the empty text. Elements that are not shown and lack their end
+    tags end at the next part of the page; formulas stand in their line. Other broken markup is read as far as it goes.
     Null and repeated ids and urls stay, other columns are ignored, an empty table gives no rows.
     """
 

@@ -178,7 +178,7 @@ def test_pages_against_their_articles(spark, sf_dir):
 @pytest.fixture(scope="module")
 def page_model():
     rng = np.random.default_rng(3)
-    return htmltext.train_pages([(p, htmltext.marked_labels(p)) for p in (htmltext.read_page(htmltext.composed_page(rng)) for _ in range(120))])
+    return htmltext.train_pages([(p, htmltext.marked_labels(p)) for p in (htmltext.read_page(htmltext.composed_page(rng)) for _ in range(htmltext.COMPOSED_PAGES))])
 
 
 def test_composed_pages_held_out(page_model):
@@ -219,3 +219,23 @@ def test_comments_and_notices_stay_out(page_model):
         '<section class="comments"><div class="comment"><p>Nice post, thanks for it.</p></div></section><footer>Imprint of the page</footer></body>'
     )
     assert htmltext.main_text(page, htmltext.marginals(page_model, [page])[0]) == "Head\nOne two <b>\nThree"
+
+
+ARTICLE = "<article><h1>Head</h1><p>One <b>two</b> three of it</p><p>Four more words here</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    ["<html><head><title>T</title><body>", "<html><head><meta charset=x><link rel=y>", "<body><datalist><option value=a><option value=b></datalist>", "<body><select><option>1<option>2</select>", "<body><button>Click", "<body><button>Click <div>x</div></button>",
+     "<body><iframe src=x>", "<body><object data=x>", "<body><video><p>fallback</p></video>", "<body><noscript><p>Enable it</p></noscript>", "<body><template><div>unseen</div></template>", "<head><script>var a = '<p>x</p>';</script><style>p {}</style>"],
+)
+def test_unended_elements_lose_no_article(page_model, before):
+    page = htmltext.read_page(before + ARTICLE + "</body></html>")
+    assert htmltext.main_text(page, htmltext.marginals(page_model, [page])[0]) == "Head\nOne two three of it\nFour more words here"
+
+
+def test_formulas_and_bare_paragraphs(page_model):
+    page = htmltext.read_page("<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p><p>a<svg><title>no</title></svg>b and more</p></article>")
+    assert [words for _, words in page.blocks] == ["Let x=2 be so.", "ab and more"]
+    page = htmltext.read_page("<body><p>first bare paragraph here</p><p>second bare one with a few more words in it</p></body>")
+    assert htmltext.main_text(page, htmltext.marginals(page_model, [page])[0]) == "first bare paragraph here\nsecond bare one with a few more words in it"
