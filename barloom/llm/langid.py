@@ -8,6 +8,7 @@ probabilities, and the least probability that keeps the errors among accepted ro
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import held_out, table, uniform
 from barloom.llm.wordtable import WordTable, flat, subwords
+from barloom.session import cut_lineage
 
-#: Bounds of the training sample: rows per language, expected, and the languages learned, the most frequent ones.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 700, 256
+#: Bounds of the training sample, expected: rows per language, and of all languages.
+ROWS_PER_LANGUAGE, MOST_ROWS = 700, 100_000
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE, STRETCHES, MAX_ERROR = 4, 0.5, 3, 0.005
 
@@ -114,21 +116,30 @@ def _calibrated(model: LanguageModel, rows: list) -> LanguageModel:
     return model
 
 
-def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """About ``rows`` labelled documents of every language, chosen by hash: text, lang."""
+def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, most: int = MOST_ROWS) -> DataFrame:
+    """About ``rows`` labelled documents of every language, fewer of each where that makes more than ``most``: text, lang.
+
+    Rows are chosen by hash and no language is left out.
+    """
     known = docs.where("text is not null and lang is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    shares = {r["lang"]: min(1.0, rows / r["count"]) for r in counts}
-    if not shares:
-        return known.select("text", "lang").limit(0)
-    share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    return known.where(uniform(F.lit("language"), F.col("doc_id"), F.col("text")) < F.coalesce(share, F.lit(0.0))).select("text", "lang")
+    counts = cut_lineage(known.groupBy("lang").count())
+    each = max(1.0, min(rows, most / max(1, counts.count())))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("count")).alias("share"))
+    # one row per language
+    joined = known.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang")
+    return joined.where(uniform(F.lit("language"), F.col("doc_id"), F.col("text")) < F.col("share")).select("text", "lang")
 
 
 def fit_languages(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Train on the rows of ``docs`` that may be learned from."""
-    got = sorted((r["lang"], r["text"]) for r in sample(docs, rows).collect())
-    return train([t for _, t in got], [x for x, _ in got])
+    """Train on the rows of ``docs`` that may be learned from; the sample stays on an executor, the model comes back."""
+    chosen = sample(docs, rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted((g, t) for x in batches for g, t in zip(x["lang"], x["text"], strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(train([t for _, t in got], [x for x, _ in got]))]})
+
+    made = chosen.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], [])
 
 
 def _predictor(model: LanguageModel):
