@@ -9,6 +9,7 @@ that training didn't see, weighted to the shares of the labels, turns logits int
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,8 @@ WIDTH, HIDDEN = 8, 8
 EPOCHS, BATCH, RATE, WORD_DROP = 8, 24, 0.02, 0.3
 #: Small samples are passed over more often, until so many steps are made.
 LEAST_STEPS = 200
-#: Windows that are scored at once.
-AT_ONCE = 4096
+#: Windows that are scored at once, and texts that are read at once.
+AT_ONCE, TEXTS_AT_ONCE = 4096, 512
 
 
 @dataclass
@@ -112,22 +113,73 @@ def _attention(e: np.ndarray, at: np.ndarray) -> np.ndarray:
     return a / np.maximum(a.sum(axis=1, keepdims=True), 1e-9)
 
 
+class _Tables:
+    """Gate inputs of all words, one contiguous table per gate, with the backward direction's rows after the forward's.
+
+    Row 0 of each direction stands for a pad.
+    """
+
+    def __init__(self, gates: np.ndarray):
+        h, n = HIDDEN, len(gates)
+        self.shift = n + 1
+        self.parts = []
+        for k in range(3):
+            made = np.zeros((2 * (n + 1), h), np.float32)
+            made[1 : n + 1], made[n + 2 :] = gates[:, k * h : (k + 1) * h], gates[:, (3 + k) * h : (4 + k) * h]
+            self.parts.append(made)
+
+
 def _logits(p: dict[str, np.ndarray], gates: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logit of every window; a window of pads only has the bias."""
-    h, out = HIDDEN, np.empty(len(at), np.float32)
+    """The logit of every window; a window of pads only has the bias.
+
+    Both directions step together, the forward one in the upper half of every array; all arrays are contiguous and reused.
+    """
+    h, out, tables = HIDDEN, np.empty(len(at), np.float32), _Tables(gates)
+    rec = [[np.ascontiguousarray(p[r][:, k * h : (k + 1) * h]) for k in range(3)] for r in ("rec_f", "rec_b")]
+    heads = [np.column_stack([p["attend"][c], p["out"][c]]) for c in (slice(0, h), slice(h, 2 * h))]
+    most = min(AT_ONCE, max(1, len(at)))
+    room = [np.empty((2 * most, h), np.float32) for _ in range(4)]
     for start in range(0, len(at), AT_ONCE):
         part = at[start : start + AT_ONCE]
-        e, s = np.zeros(part.shape, np.float32), np.zeros(part.shape, np.float32)
-        for back, rec, cut in ((False, "rec_f", slice(0, h)), (True, "rec_b", slice(h, 2 * h))):
-            heads = np.column_stack([p["attend"][cut], p["out"][cut]])
-
-            def read(t, state, heads=heads, e=e, s=s):
-                both = state @ heads
-                e[:, t] += both[:, 0]
-                s[:, t] += both[:, 1]
-
-            _run(gates[:, 3 * h * back : 3 * h * (1 + back)], part, p[rec], back, None, read)
-        out[start : start + len(part)] = (_attention(e, part) * s).sum(axis=1) + p["bias"][0]
+        n = len(part)
+        state = np.zeros((2 * n, h), np.float32)
+        z, r, new, old = (x[: 2 * n] for x in room)
+        columns = np.ascontiguousarray(part.T) + 1  # 0 is a pad
+        padded = (columns == 0).any(axis=1)
+        e, s = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        places = np.empty(2 * n, np.int64)
+        for t in range(WINDOW):
+            back = WINDOW - 1 - t
+            places[:n] = columns[t]
+            np.add(columns[back], tables.shift, out=places[n:])
+            for gate, k in ((z, 0), (r, 1)):
+                np.matmul(state[:n], rec[0][k], out=gate[:n])
+                np.matmul(state[n:], rec[1][k], out=gate[n:])
+                np.take(tables.parts[k], places, axis=0, out=old, mode="clip")
+                gate += old
+                # the logistic function in place
+                np.negative(gate, out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            r *= state
+            np.matmul(r[:n], rec[0][2], out=new[:n])
+            np.matmul(r[n:], rec[1][2], out=new[n:])
+            np.take(tables.parts[2], places, axis=0, out=old, mode="clip")
+            new += old
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=old)
+            old *= z
+            new += old
+            if padded[t] or padded[back]:
+                pad = np.concatenate([columns[t] == 0, columns[back] == 0])
+                new[pad] = state[pad]
+            state[:] = new
+            for rows, head, place in ((state[:n], heads[0], t), (state[n:], heads[1], back)):
+                both = rows @ head
+                e[place] += both[:, 0]
+                s[place] += both[:, 1]
+        out[start : start + n] = (_attention(e.T, part) * s.T).sum(axis=1) + p["bias"][0]
     return out
 
 
@@ -269,9 +321,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROW
     share = F.when(F.col("toxic") == 1, F.lit(part.get(1, 0.0))).when(F.col("toxic") == 0, F.lit(part.get(0, 0.0))).otherwise(0.0)
     chosen = marked.where(uniform(F.lit("toxic"), F.col("doc_id")) < share)
     # about toxic_rows + clean_rows rows
-    got = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
-    got = sorted((r["toxic"], r["text"]) for r in got)
-    return train([t for _, t in got], [x for x, _ in got], (1 / part.get(0, 1.0), 1 / part.get(1, 1.0)))
+    got = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    shares = (1 / part.get(0, 1.0), 1 / part.get(1, 1.0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(x), t) for b in batches for x, t in zip(b["toxic"], b["text"], strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(train([t for _, t in rows], [x for x, _ in rows], shares))]})
+
+    # the sample stays on an executor, the model comes back
+    made = got.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], [], shares)
 
 
 def _scorer(model: ToxicityModel):
@@ -280,16 +339,25 @@ def _scorer(model: ToxicityModel):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table_of = WordTable(lambda words: (_inputs(p, _features(words)) @ p["in"] + p["gate_bias"]).astype(np.float32), most=100_000)
         for rows in batches:
-            out = []
-            texts = list(rows["text"])
-            for start in range(0, len(texts), 128):
-                at, owner = _laid(table_of.look_up([byte_words(t if isinstance(t, str) else "") for t in texts[start : start + 128]]))
-                gates = table_of.rows if table_of.rows is not None else np.zeros((1, 6 * HIDDEN), np.float32)
-                worst = np.full(min(128, len(texts) - start), -np.inf, np.float32)
+            # copies within a batch are read once
+            index: dict[str, int] = {}
+            own = np.fromiter((index.setdefault(t if isinstance(t, str) else "", len(index)) for t in rows["text"]), np.int64, len(rows))
+            texts = list(index)
+            logit = np.zeros(len(texts))
+            for start in range(0, len(texts), TEXTS_AT_ONCE):
+                held = table_of.look_up([byte_words(t) for t in texts[start : start + TEXTS_AT_ONCE]])
+                # only the words of these texts get places in the tables
+                used = np.zeros(len(table_of.rows) if table_of.rows is not None else 0, bool)
+                for x in held:
+                    used[x] = True
+                place = (np.cumsum(used) - 1).astype(np.int32)
+                gates = table_of.rows[: len(used)][used] if used.any() else np.zeros((1, 6 * HIDDEN), np.float32)
+                at, owner = _laid([place[x] for x in held])
+                worst = np.full(len(held), -np.inf, np.float32)
                 np.maximum.at(worst, owner, _logits(p, gates, at))
-                out.append(worst.astype(np.float64))
-            logit = np.concatenate(out) if out else np.zeros(0)
-            yield rows.drop(columns="text").assign(score=1 / (1 + np.exp(-np.clip(model.slope * logit + model.shift, -500, 500))))
+                logit[start : start + len(held)] = worst
+            score = 1 / (1 + np.exp(-np.clip(model.slope * logit + model.shift, -500, 500)))
+            yield rows.drop(columns="text").assign(score=score[own] if len(own) else np.zeros(0))
 
     return score
 
