@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import htmltext, langid, lmscore, toxicity
 from barloom.llm.common import byte_words, table
@@ -18,6 +19,10 @@ def fold(i, k):
     return zlib.crc32(str(i).encode()) % k
 
 
+def log_softmax(z):
+    return z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+
+
 def test_word_table_starts_anew_without_changing_results():
     lookup = WordTable(lambda ws: np.array([[len(w)] for w in ws]), most=3)
     for words in ([b"a", b"bb"], [b"ccc", b"dd", b"a"], [b"eeeee", b"bb"]):
@@ -130,7 +135,7 @@ def test_language_model_adds_up_to_one(spark, monkeypatch):
     docs = spark.createDataFrame([*probes, (9999, "w1 w2")], "doc_id long, text string")
     counts = lmscore.count_words(learn)
     v = lmscore._vocabulary(counts)
-    w = lmscore._trained(learn, v, 1, 0)
+    w = lmscore._trained(learn, v, 1)
     places = lmscore._places(v.head)
     got = next(lmscore._scorer(v, w)(iter([docs.toPandas()])))
     assert len(got) == len(probes) + 1
@@ -138,14 +143,14 @@ def test_language_model_adds_up_to_one(spark, monkeypatch):
     at = places([b"w1", b"w2"])
     c1, c2, c3 = (np.array([x]) for x in (at[1, 1], at[0, 1], lmscore.START))
     f = lmscore._features(c1.astype(np.int64), c2.astype(np.int64), c3)
-    p = np.exp(lmscore._log_softmax(w.class_bias + w.class_rows[f].sum(axis=0)))[0]
+    p = np.exp(log_softmax(w.class_bias + w.class_rows[f].sum(axis=0)))[0]
     n = {r["word"].encode(): r["n"] for r in counts.collect()}
     total = 0.0
     for k in range(lmscore.CLASSES):
         inside = [x for x in n if places([x])[0, 2] == k]
         if k < lmscore.FREQUENT_CLASSES:
             g = lmscore._slot_features(np.array([k]), c1.astype(np.int64), c2.astype(np.int64))
-            q = np.exp(lmscore._log_softmax(w.slot_bias[[k]] + w.slot_rows[g].sum(axis=0)))[0]
+            q = np.exp(log_softmax(w.slot_bias[[k]] + w.slot_rows[g].sum(axis=0)))[0]
             total += p[k] * sum(q[places([x])[0, 3]] for x in inside)
         else:
             total += p[k] * (sum(n[x] + 1 for x in inside) + 1) / (v.class_tokens[k] + v.class_types[k] + 1)
@@ -239,3 +244,24 @@ def test_formulas_and_bare_paragraphs(page_model):
     assert [words for _, words in page.blocks] == ["Let x=2 be so.", "ab and more"]
     page = htmltext.read_page("<body><p>first bare paragraph here</p><p>second bare one with a few more words in it</p></body>")
     assert htmltext.main_text(page, htmltext.marginals(page_model, [page])[0]) == "first bare paragraph here\nsecond bare one with a few more words in it"
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.createDataFrame(table(spark, sf_dir, "documents").orderBy("doc_id").limit(200).toPandas())
+    one, seven = (lmscore.score_documents(docs.repartition(n), docs.repartition(n)).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (1, 7))
+    assert np.allclose(one["score"], seven["score"], rtol=1e-6) and (one["base_score"] == seven["base_score"]).all()
+
+
+def test_every_position_teaches(spark, sf_dir):
+    out = lmscore.op4_maxent_scores(spark, sf_dir).toPandas()
+    held = out[out["held_out"]]
+    assert (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum() > 0.08
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j" if i % 2 else "k l m n o p q r s t") for i in range(40)], "doc_id long, text string")
+    near, far = (lmscore.score_documents(docs.where("doc_id = 1").withColumn("text", F.lit(t)), docs).first()["score"] for t in ("a b c d e f g h i j", "a l c n e p g r i t"))
+    assert near > far + 2
+
+
+def test_head_words_come_by_count(spark):
+    counts = spark.createDataFrame([(" ", 1), ("a", 100), ("b", 50), ("c", 50), *[(f"w{i}", 1) for i in range(30)]], "word string, n long")
+    assert lmscore._head_words(counts, 10) == [(" ", 1), ("a", 100), ("b", 50), ("c", 50)]
+    assert len(lmscore._head_words(counts, 100)) == 34 and lmscore._head_words(counts, 2) == [(" ", 1), ("a", 100)]
