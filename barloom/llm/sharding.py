@@ -40,7 +40,12 @@ def _splitters(digest: DataFrame, ranges: int) -> tuple[list[int], list[bool]]:
     """Quantile boundaries of a size-weighted sample, and which of them are keys that fill whole ranges."""
     wanted = ranges * SAMPLES_PER_RANGE
     priority = -F.log(uniform(F.lit("splitter"), F.col("doc_id"), F.col("key"))) / F.col("size")
-    sample = digest.select("key", priority.alias("p")).orderBy("p", "key").limit(wanted).collect()
+    ranked = digest.select("key", priority.alias("p"))
+    rows, total = digest.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if rows > 2 * wanted:
+        # about size * bound of a record's priorities lie below the bound, so twice the sample passes at most
+        ranked = ranked.where(F.col("p") < 2.0 * wanted / total)
+    sample = sorted(ranked.collect(), key=lambda r: (r["p"], r["key"]))[:wanted]
     keys = sorted(r["key"] for r in sample)
     if not keys:
         return [], []
