@@ -13,14 +13,22 @@ from pyspark.sql.window import WindowSpec
 # Date spellings accepted from files, tried in this order.
 DATE_FORMATS = (
     "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
+    "M/d/yy",
     "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
+    "d.M.yyyy",
+    "d.M.yy",
     "d-MMM-yyyy",
+    "d-MMM-yy",
     "d MMM yyyy",
+    "d MMMM yyyy",
     "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "yyyyMMdd",
 )
+# A time that may follow a date.
+TIME_FORMATS = ("", "H:mm", "H:mm:ss", "h:mm a", "h:mm:ss a")
 # Dates that begin with the year and a dash: an optional time, fraction and zone are read by the cast.
 ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)? ?(Z|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?$"
 
@@ -42,22 +50,38 @@ def to_number(column: Column) -> Column:
 
 
 # What the letters of a date format stand for in text.
-SHAPES = {"yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", **dict.fromkeys(("mm", "ss"), "[0-9]{2}"), **dict.fromkeys("MdH", "[0-9]{1,2}")}
+SHAPES = {
+    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "dd": "[0-9]{2}",
+    **dict.fromkeys(("mm", "ss"), "[0-9]{2}"), **dict.fromkeys("MdHh", "[0-9]{1,2}"), "a": "[AaPp][Mm]", ".": "[.]",
+}
 
 
 def shape(date_format: str) -> str:
     """A pattern for the texts a date format can parse."""
-    return "^" + re.sub("|".join(SHAPES), lambda m: SHAPES[m.group()], date_format) + "$"
+    letters = sorted(SHAPES, key=len, reverse=True)
+    return re.sub("|".join(map(re.escape, letters)), lambda m: SHAPES[m.group()], date_format)
 
 
 def to_timestamp(column: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Dates as people and programs write them: year first, or in one of ``formats``, the first that parses.
 
-    Nothing parses means null. A failed parse costs an exception, so a format is tried only on text of its shape.
+    A time may follow, with seconds and with AM or PM. Month names are English, in any case; years of two digits lie in
+    2000 to 2099. Nothing parses means null. A failed parse costs an exception, so a format is tried only on text of its
+    shape, and the time apart from the date.
     """
     text = F.trim(column.cast("string"))
     iso = F.when(text.rlike(ISO_DATE), F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp"))
-    return F.coalesce(iso, *[F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    time = "|".join(shape(t) for t in TIME_FORMATS if t)
+    split = F.when(text.rlike(f"[ T]({time})$"), F.regexp_extract(text, f"[ T]({time})$", 1)).otherwise("")
+    day = F.initcap(F.trim(F.regexp_replace(text, f"[ T]({time})$", "")))
+    day = F.regexp_replace(F.regexp_replace(day, r"\bSept\b", "Sep"), r"^(May) ", "May ")
+    dates = [F.when(day.rlike(f"^{shape(f)}$"), F.try_to_timestamp(day, F.lit(f))) for f in formats]
+    hour, rest = F.regexp_extract(split, "^([0-9]{1,2}):", 1).try_cast("int"), F.regexp_extract(split, ":([0-9]{2})", 1).try_cast("int")
+    seconds = F.coalesce(F.regexp_extract(split, "^[0-9]{1,2}:[0-9]{2}:([0-9]{2})", 1).try_cast("int"), F.lit(0))
+    half = F.upper(F.regexp_extract(split, "([AaPp])[Mm]$", 1))
+    in_day = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
+    clock = F.when(split == "", F.lit(0)).when((in_day < 24) & (rest < 60) & (seconds < 60), in_day * 3600 + rest * 60 + seconds)
+    return F.coalesce(iso, F.coalesce(*dates) + F.make_dt_interval(secs=clock.cast("decimal(18,6)")))
 
 
 def ratio_change(now: Column, before: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,8 +93,9 @@ def find_row_tag(spark: SparkSession, path: str) -> str:
 
     All tags of all files are counted where they lie; in a folder, files follow by name.
     """
-    tags = F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.\-]*)"), F.lit(1))
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), tags.alias("tags"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    tags = F.regexp_extract_all("shown", F.lit(r"<([A-Za-z_][\w.\-]*)"), F.lit(1))
+    lines = without_comments(lines).select("file", "line", tags.alias("tags"))
     found = lines.select("file", "line", F.posexplode("tags").alias("at", "tag"))
     first = found.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line", "at")).alias("first"))
     best = first.orderBy((F.col("n") > 1).desc(), "first").first()
@@ -103,6 +104,32 @@ def find_row_tag(spark: SparkSession, path: str) -> str:
     return best["tag"]
 
 
+def without_comments(lines: DataFrame) -> DataFrame:
+    """Add ``shown``: each line without what lies in comments and character data, which may run over lines.
+
+    A line depends on the ones before only by whether it begins inside: the last mark before it in its file
+    says so, found by one window over the few lines that hold a mark.
+    """
+    marks = F.regexp_extract_all("value", F.lit(r"(<!--|-->|<!\[CDATA\[|\]\]>)"), F.lit(1))
+    marked = lines.withColumn("_last", F.try_element_at(marks, F.lit(-1)))
+    held = marked.where("_last IS NOT NULL").select("file", "line", "_last")
+    if held.isEmpty():
+        return lines.withColumn("shown", F.col("value"))
+    before = F.lag("_last").over(Window.partitionBy("file").orderBy("line"))
+    opened = held.withColumn("_before", before)
+    # lines without a mark lie wholly inside when the last mark before them opens
+    spans = opened.select("file", F.col("line").alias("_from"), F.lead("line").over(Window.partitionBy("file").orderBy("line")).alias("_to"), "_last")
+    inside = spans.where(F.col("_last").isin("<!--", "<![CDATA["))
+    own = marked.where("_last IS NOT NULL").join(opened.select("file", "line", "_before"), ["file", "line"])
+    text = F.concat(F.when(F.col("_before") == "<!--", "<!--").when(F.col("_before") == "<![CDATA[", "<![CDATA[").otherwise(""), F.col("value"))
+    text = F.regexp_replace(text, r"(?s)<!--.*?(-->|$)|<!\[CDATA\[.*?(\]\]>|$)", "")
+    own = own.select("file", "line", text.alias("shown"))
+    plain = marked.where("_last IS NULL")
+    covered = (plain["file"] == inside["file"]) & (plain["line"] > inside["_from"]) & (inside["_to"].isNull() | (plain["line"] < inside["_to"]))
+    rest = plain.join(inside, covered, "left_anti").select("file", "line", F.col("value").alias("shown"))
+    return own.unionByName(rest)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, row_tag: str | None = None) -> DataFrame:
     """Choose the reader by extension, or by ``fmt``."""
     kind = fmt or FORMATS.get(os.path.splitext(path.rstrip("/"))[1].lower())
