@@ -149,6 +149,40 @@ def test_slots_take_every_block_before_one_repeats(spark):
         assert part["shard"].between(0, 4).all() and (part.sort_values("slot")["shard"].diff().dropna() >= 0).all()
 
 
+def test_shards_draw_their_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * 50, f"s{i % 40}") for i in range(400)], "doc_id long, text string, source string")
+    whole = mixing.plan_mix(docs, block=16, shards=7)[1].toPandas()
+    monkeypatch.setattr(mixing, "DRAWN_TOGETHER", 6)
+    grouped = mixing.plan_mix(docs, block=16, shards=7)[1].toPandas()
+    for rows in (whole, grouped):
+        sizes = rows.groupby("shard").size()
+        assert len(sizes) == 7 and sizes.max() - sizes.min() <= 1
+        # a source's counts in the shards are random, and meet what it is to give in all
+        assert rows.groupby("source")["shard"].agg(lambda of: of.value_counts().std()).max() > 0
+        assert (rows.groupby("source").size() == whole.groupby("source").size()).all()
+    stretches = mixing.mix_shards(docs, block=16, shards=7).toPandas()
+    totals = mixing.mix_totals(docs, block=16, shards=7).toPandas().set_index("doc_id")
+    by_doc = stretches.groupby("doc_id").agg(taken=("take", "sum"), n_shards=("shard", "nunique"))
+    assert (totals.loc[by_doc.index, ["taken", "n_shards"]] == by_doc).all().all() and totals["taken"].sum() == by_doc["taken"].sum()
+    assert (stretches.groupby(["source", "slot"])["take"].sum() <= 16).all() and stretches.groupby(["source", "slot"])["shard"].nunique().eq(1).all()
+    assert mixing.mix_totals(docs, block=16, shards=1).toPandas()["n_shards"].max() == 1
+    assert not mixing.mix_shards(docs, block=16, shards=7, seed=1).toPandas().equals(stretches)
+
+
+def test_a_shard_draws_by_what_is_left():
+    rng = np.random.default_rng(0)
+    counts = np.mean([mixing.deal(np.array([50, 20, 10, 0]), np.array([20, 20, 20, 20]), rng) for _ in range(400)], axis=0)
+    assert np.allclose(counts.sum(axis=0), [50, 20, 10, 0]) and np.allclose(counts.sum(axis=1), 20)
+    assert np.allclose(counts, [[12.5, 5, 2.5, 0]] * 4, atol=0.5)
+    assert mixing.deal(np.array([0, 0]), np.array([0, 0]), rng).sum() == 0
+
+
+def test_products_beyond_63_bits(spark):
+    n = 3_000_000_019
+    row = spark.range(1).select(mixing._times(F.lit(n - 2), F.lit(n - 5), F.lit(n)).alias("p")).first()
+    assert row["p"] == (n - 2) * (n - 5) % n
+
+
 def test_mixed_documents_hold_what_is_taken(odd, empty, spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix_documents(docs)
