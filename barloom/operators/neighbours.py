@@ -141,8 +141,8 @@ def probe(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool) ->
     )
 
 
-def box_finder(low: np.ndarray, high: np.ndarray, leaves: int, k: int):
-    """Find, per row, the other leaves that may hold one of its k nearest."""
+def box_finder(low: np.ndarray, high: np.ndarray, leaves: int, k: int, within: float):
+    """Find, per row, the other leaves that may hold one of its k nearest, closer than ``within``."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,6 +151,7 @@ def box_finder(low: np.ndarray, high: np.ndarray, leaves: int, k: int):
             x, home = stacked_vectors(batch["x"]), batch["home"].to_numpy()
             # a hair more than the distance, so that rounding loses no tie
             radius = np.array([n[k - 1]["d2"] if len(n) >= k else np.inf for n in batch["near"]]) * (1 + 1e-12)
+            radius = np.minimum(radius, within**2)
             hits: list[tuple[np.ndarray, int]] = []
             todo = [(0, np.arange(len(x)))]
             while todo:
@@ -174,8 +175,8 @@ def box_finder(low: np.ndarray, high: np.ndarray, leaves: int, k: int):
     return find
 
 
-def k_nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """Rows (id, near): the k nearest reference rows of every query, ties by id.
+def k_nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool = False, within: float = math.inf) -> DataFrame:
+    """Rows (id, near): the k nearest reference rows of every query, ties by id, of those closer than ``within``.
 
     Both tables have ``id`` (bigint, unique) and ``x`` (array of doubles, no nulls), the
     reference also a weight ``w``. ``near`` holds squared distances, nearest first.
@@ -208,8 +209,11 @@ def k_nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool
         corners = [f(F.col("x")[j]) for f in (F.min, F.max) for j in range(dims)]
         boxes = held.groupBy("leaf").agg(F.array(*corners[:dims]).alias("low"), F.array(*corners[dims:]).alias("high"))
         low, high = nested(boxes.toPandas(), leaves, dims)
-        find = box_finder(low, high, leaves, k)
+        find = box_finder(low, high, leaves, k, within)
         visits = cut_lineage(near.mapInPandas(find, "id bigint, x array<double>, home bigint, leaf bigint"))
         near = near.unionByName(probe(visits, held, k, skip_self))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    return near.groupBy("id").agg(best.alias("near"))
+    near = near.groupBy("id").agg(best.alias("near"))
+    if math.isinf(within):
+        return near
+    return near.withColumn("near", F.filter("near", lambda one: one["d2"] < within**2))

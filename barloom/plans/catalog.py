@@ -471,6 +471,13 @@ def lof_novelty(spark, sf_dir):
     return shown_at(lof.predict(new).select("Symbol", "Date", "anomaly_score", "is_anomaly"), 6)
 
 
+@query
+def lof_by_symbol(spark, sf_dir):
+    bars = cut_lineage(hourly(spark, sf_dir))
+    lof = create_detector("lof", n_neighbors=20, partition_by="Symbol").fit(bars, OHLCV)
+    return shown_at(lof.predict(bars).select("Symbol", "Date", "anomaly_score", "is_anomaly"), 6)
+
+
 @query
 def lof_embeddings(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")

@@ -395,11 +395,11 @@ def squared(a: str, b: str, columns: list[str]) -> str:
     return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in columns)
 
 
-def factors(source: str, distance: str, k: int, order: str) -> str:
-    """Brute-force local outlier factors of a table with unique ``vid``."""
+def factors(source: str, distance: str, k: int, order: str, among: str = "true") -> str:
+    """Brute-force local outlier factors of a table with unique ``vid``, of pairs that meet ``among``."""
     return f"""near AS (
   SELECT a.vid AS id, b.vid AS other, {distance} AS d2
-  FROM {source} a JOIN {source} b ON a.vid <> b.vid
+  FROM {source} a JOIN {source} b ON a.vid <> b.vid AND {among}
   QUALIFY row_number() OVER (PARTITION BY a.vid ORDER BY {distance}, {order}) <= {k}),
 kd AS (SELECT id, sqrt(max(d2)) AS kdist FROM near GROUP BY id),
 density AS (
@@ -418,6 +418,10 @@ ORACLE["lof_exact"] = f"""WITH {HOURLY}, {NUMBERED.format(source='hours')},
 {factors('numbered', squared('a', 'b', COLUMNS), 20, 'b.vid')}
 SELECT Symbol, {TIME} AS Date, round({SCALED}, 6) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly
 FROM numbered JOIN factors ON id = vid"""
+ORACLE["lof_by_symbol"] = f"""WITH {HOURLY}, {NUMBERED.format(source='hours')},
+{factors('numbered', squared('a', 'b', COLUMNS), 20, 'b.vid', 'a.Symbol = b.Symbol')}
+SELECT Symbol, {TIME} AS Date, round({SCALED}, 6) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly
+FROM numbered JOIN factors ON id = vid"""
 ORACLE["lof_novelty"] = f"""WITH {HOURLY},
 known AS (SELECT * FROM hours WHERE Date < TIMESTAMP '2024-01-20'),
 {NUMBERED.format(source='known')},

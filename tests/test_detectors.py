@@ -121,6 +121,33 @@ def test_lof_few_rows(spark):
     assert create_detector("lof").fit(one, ["v"]).predict(one).first()["is_anomaly"] == 0
 
 
+@pytest.mark.parametrize("leaf_rows,portion", [(1024, 4096), (16, 8)])
+def test_lof_of_groups_equals_fits_apart(spark, monkeypatch, tiny_tasks, leaf_rows, portion):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(neighbours, "PORTION_ROWS", portion)
+    tiny_tasks(30)
+    parts = {"a": rng.normal(size=(150, 2)), "b": np.ones((40, 2)), None: 1000 * rng.normal(size=(25, 2)), "": rng.normal(size=(6, 2)), "one": rng.normal(size=(1, 2))}
+    parts["b"] = np.concatenate([parts["b"], parts["a"][:60]])  # the same vectors in two groups
+    rows = [(g, *map(float, v)) for g, x in parts.items() for v in x]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, g string, a double, b double")
+    lof = create_detector("lof", n_neighbors=10, partition_by="g").fit(df, ["a", "b"])
+    raw = lof.raw_scores(lof.complete(df, [0, 0])).toPandas().sort_values("i")["_raw_score"].to_numpy()
+    apart = [brute_force(x, min(10, len(x) - 1)) if len(x) > 1 else np.ones(1) for x in parts.values()]
+    assert np.allclose(raw, np.concatenate(apart), rtol=1e-9)
+    back = load_detector(spark, lof.save(fresh_folder(spark, "lof-groups"), spark))
+    new = [(g, *map(float, v)) for g in parts for v in 3 * rng.normal(size=(4, 2))] + [("unseen", 0.0, 0.0)]
+    asked = spark.createDataFrame([(i, *r) for i, r in enumerate(new)], "i int, g string, a double, b double")
+    got = back.raw_scores(back.complete(asked, [0, 0])).toPandas().set_index("i")["_raw_score"]
+    for g in ("a", "b", ""):
+        single = create_detector("lof", n_neighbors=10, novelty=True).fit(df.where(F.col("g") == g), ["a", "b"])
+        mine = asked.where(F.col("g") == g)
+        want = single.raw_scores(single.complete(mine, [0, 0])).toPandas().set_index("i")["_raw_score"]
+        assert np.allclose(got[want.index], want, rtol=1e-9)
+    last = back.predict(asked).where("g = 'unseen'").first()
+    assert last["anomaly_score"] is None and last["is_anomaly"] is None
+
+
 def test_nearest_equals_sort(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF_ROWS", 20)
     rng = np.random.default_rng(2)
