@@ -89,6 +89,12 @@ class Detector:
         low, high = self.state["range"]
         return self.finish(scored, low, high)
 
+    def score_batch(self, df: DataFrame) -> DataFrame:
+        """``predict_stream`` for one batch of a stream, for any detector: a batch is a table, so it can be joined."""
+        self.check_ready(df)
+        scored = cut_lineage(self.raw_scores(self.complete(df, self.state["means"])))
+        return self.finish(scored, *self.state["range"])
+
     def finish(self, scored: DataFrame, low: float, high: float) -> DataFrame:
         flagged = self.is_flagged(F.col(RAW)).cast("int")
         return scored.withColumns(

@@ -6,6 +6,7 @@ are counted before any shuffle and never meet in a task.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from barloom.detectors.base import RAW, Detector, moments
 from barloom.functions.columns import name
 from barloom.operators.evaluate import number_in_order
 from barloom.operators.layout import max_rows
-from barloom.operators.neighbours import k_nearest
+from barloom.operators.neighbours import NeighbourIndex, k_nearest
 from barloom.session import cut_lineage
 
 EPSILON = 1e-10
@@ -36,9 +37,11 @@ class LocalOutlierFactor(Detector):
     """
 
     kind = "lof"
+    model: DataFrame | None = None
     defaults = {"n_neighbors": 20, "contamination": None, "novelty": False, "scale": False, "partition_by": None}
 
     def learn(self, df: DataFrame) -> None:
+        self.__dict__.pop("index", None)  # of an earlier fit
         if self.params["partition_by"]:
             self.check_columns(df, [self.params["partition_by"]])
             self.state["seed"] = self.separating_seed(df)
@@ -70,11 +73,16 @@ class LocalOutlierFactor(Detector):
     def search(self, asked: DataFrame, known: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
         """The k nearest, of the same group where there are groups."""
         if not self.params["partition_by"]:
-            return k_nearest(asked, known, k, skip_self)
+            return self.index.search(asked, k) if known is self.model else k_nearest(asked, known, k, skip_self)
         gap = float(self.gap(asked, known))
         far = lambda df: df.withColumn("x", F.transform("x", lambda v, i: F.when(i == 0, v * gap).otherwise(v)))
         return k_nearest(far(asked), far(known), k, skip_self, within=gap)
 
+    @functools.cached_property
+    def index(self) -> NeighbourIndex:
+        """The training rows, made ready once for all later searches, as by the batches of a stream."""
+        return NeighbourIndex(self.model)
+
     def gap(self, asked: DataFrame, known: DataFrame) -> float:
         """A power of two, so that codes times it stay exact, beyond the distance of any two vectors of a group."""
         sides = [F.col("x")[i + 1] for i in range(len(self.feature_columns))]
@@ -146,7 +154,7 @@ class LocalOutlierFactor(Detector):
         return done.withColumns({c: F.when(~unknown, F.col(c)) for c in ("anomaly_score", "is_anomaly")}).drop("_unknown")
 
     def predict_stream(self, df: DataFrame) -> DataFrame:
-        raise ValueError("score streams with foreachBatch and predict: neighbours need a join per batch")
+        raise ValueError("neighbours need a join per batch: score streams with score_available or score_batch")
 
     def tables(self) -> dict[str, DataFrame]:
         return {"vectors": self.model}

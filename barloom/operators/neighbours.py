@@ -9,6 +9,7 @@ that a popular leaf is the work of many tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -175,45 +176,61 @@ def box_finder(low: np.ndarray, high: np.ndarray, leaves: int, k: int, within: f
     return find
 
 
-def k_nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool = False, within: float = math.inf) -> DataFrame:
-    """Rows (id, near): the k nearest reference rows of every query, ties by id, of those closer than ``within``.
+class NeighbourIndex:
+    """A reference table made ready for any number of searches: the tree, the rows by leaf and the boxes of the leaves.
 
-    Both tables have ``id`` (bigint, unique) and ``x`` (array of doubles, no nulls), the
-    reference also a weight ``w``. ``near`` holds squared distances, nearest first.
+    The table has ``id`` (bigint, unique), ``x`` (array of doubles, no nulls) and a weight ``w``. It is read here, and
+    later only in the leaves that a search visits.
     """
-    spark = reference.sparkSession
-    size, dims = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    if not size:
-        raise ValueError("no reference rows to search")
-    depth = 0 if size <= LEAF_ROWS else math.ceil(math.log2(min(MOST_LEAVES, size / LEAF_ROWS)))
-    leaves = 2**depth
-    wanted = leaves * SAMPLE_PER_LEAF
-    # the rows with the smallest hashes: the same sample however the table is partitioned
-    hashed = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20))
-    share = math.ceil((1 << 20) * min(1.0, 2 * wanted / size))
-    picked = reference.filter(hashed < share).orderBy(F.xxhash64(F.lit(7), "id")).select("x").limit(wanted)
-    sample = stacked_vectors(picked.toPandas()["x"]) if depth else np.zeros((0, dims))
-    tree = spark.sparkContext.broadcast(SplitTree(sample, depth))
-
-    @F.pandas_udf("bigint")
-    def leaf_of(x: pd.Series) -> pd.Series:
-        return pd.Series(tree.value.leaf(stacked_vectors(x)) if len(x) else np.zeros(0, dtype=np.int64))
-
-    held = reference.select("id", "x", "w", leaf_of("x").alias("leaf"))
-    if depth:
-        held = cut_lineage(held)
-    asked = queries.select("id", "x", leaf_of("x").alias("leaf")).withColumn("home", F.col("leaf"))
-    near = probe(asked, held, k, skip_self)
-    if depth:
-        near = cut_lineage(near)
-        corners = [f(F.col("x")[j]) for f in (F.min, F.max) for j in range(dims)]
-        boxes = held.groupBy("leaf").agg(F.array(*corners[:dims]).alias("low"), F.array(*corners[dims:]).alias("high"))
-        low, high = nested(boxes.toPandas(), leaves, dims)
-        find = box_finder(low, high, leaves, k, within)
-        visits = cut_lineage(near.mapInPandas(find, "id bigint, x array<double>, home bigint, leaf bigint"))
-        near = near.unionByName(probe(visits, held, k, skip_self))
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    near = near.groupBy("id").agg(best.alias("near"))
-    if math.isinf(within):
-        return near
-    return near.withColumn("near", F.filter("near", lambda one: one["d2"] < within**2))
+
+    def __init__(self, reference: DataFrame):
+        spark = reference.sparkSession
+        size, self.dims = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        if not size:
+            raise ValueError("no reference rows to search")
+        depth = 0 if size <= LEAF_ROWS else math.ceil(math.log2(min(MOST_LEAVES, size / LEAF_ROWS)))
+        self.leaves = 2**depth
+        wanted = self.leaves * SAMPLE_PER_LEAF
+        # the rows with the smallest hashes: the same sample however the table is partitioned
+        hashed = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20))
+        share = math.ceil((1 << 20) * min(1.0, 2 * wanted / size))
+        picked = reference.filter(hashed < share).orderBy(F.xxhash64(F.lit(7), "id")).select("x").limit(wanted)
+        sample = stacked_vectors(picked.toPandas()["x"]) if depth else np.zeros((0, self.dims))
+        tree = spark.sparkContext.broadcast(SplitTree(sample, depth))
+
+        @F.pandas_udf("bigint")
+        def leaf_of(x: pd.Series) -> pd.Series:
+            return pd.Series(tree.value.leaf(stacked_vectors(x)) if len(x) else np.zeros(0, dtype=np.int64))
+
+        self.leaf_of = leaf_of
+        held = reference.select("id", "x", "w", leaf_of("x").alias("leaf"))
+        self.held = cut_lineage(held) if depth else held
+
+    @functools.cached_property
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        corners = [f(F.col("x")[j]) for f in (F.min, F.max) for j in range(self.dims)]
+        boxes = self.held.groupBy("leaf").agg(F.array(*corners[: self.dims]).alias("low"), F.array(*corners[self.dims :]).alias("high"))
+        return nested(boxes.toPandas(), self.leaves, self.dims)
+
+    def search(self, queries: DataFrame, k: int, skip_self: bool = False, within: float = math.inf) -> DataFrame:
+        """Rows (id, near): the k nearest reference rows of every query, ties by id, of those closer than ``within``.
+
+        The queries have ``id`` and ``x`` as the reference has. ``near`` holds squared distances, nearest first.
+        """
+        asked = queries.select("id", "x", self.leaf_of("x").alias("leaf")).withColumn("home", F.col("leaf"))
+        near = probe(asked, self.held, k, skip_self)
+        if self.leaves > 1:
+            near = cut_lineage(near)
+            find = box_finder(*self.boxes, self.leaves, k, within)
+            visits = cut_lineage(near.mapInPandas(find, "id bigint, x array<double>, home bigint, leaf bigint"))
+            near = near.unionByName(probe(visits, self.held, k, skip_self))
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+        near = near.groupBy("id").agg(best.alias("near"))
+        if math.isinf(within):
+            return near
+        return near.withColumn("near", F.filter("near", lambda one: one["d2"] < within**2))
+
+
+def k_nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool = False, within: float = math.inf) -> DataFrame:
+    """One search of a reference table, see ``NeighbourIndex``."""
+    return NeighbourIndex(reference).search(queries, k, skip_self, within)

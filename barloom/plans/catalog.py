@@ -18,7 +18,7 @@ from barloom.sources import readers
 from barloom.sources.bars import rebucket, to_bars
 from barloom.sources.mapping import apply_mapping, normalise_columns, suggest_mapping
 from barloom.sources.sinks import write_table
-from barloom.streaming.live import read_parquet_stream, run_available, stream_bars, stream_scores
+from barloom.streaming.live import read_parquet_stream, run_available, score_available, stream_bars, stream_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -730,3 +730,15 @@ def stream_score(spark, sf_dir):
     live = stream_bars(event_stream(spark, sf_dir), "ts", "value", "event_type", order_by=["ts", "event_id"])
     flagged = run_available(stream_scores(live, forest), "stream-scores")
     return shown_at(flagged.select("Symbol", "Date", "Close", "anomaly_score", "is_anomaly"), 6)
+
+
+@query
+def stream_lof(spark, sf_dir):
+    bars = cut_lineage(hourly(spark, sf_dir))
+    lof = create_detector("lof", n_neighbors=20, novelty=True).fit(bars.filter(F.col("Date") < "2024-01-20"), OHLCV)
+    landed = fresh_folder(spark, "new-bars")
+    new = bars.filter(F.col("Date") >= "2024-01-20")
+    new.repartitionByRange(3, "Date").write.parquet(landed)
+    live = read_parquet_stream(spark, landed, new.schema, files_per_batch=1)
+    flagged = score_available(live, lof, "stream-lof")
+    return shown_at(flagged.select("Symbol", "Date", "anomaly_score", "is_anomaly"), 6)

@@ -422,7 +422,7 @@ ORACLE["lof_by_symbol"] = f"""WITH {HOURLY}, {NUMBERED.format(source='hours')},
 {factors('numbered', squared('a', 'b', COLUMNS), 20, 'b.vid', 'a.Symbol = b.Symbol')}
 SELECT Symbol, {TIME} AS Date, round({SCALED}, 6) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly
 FROM numbered JOIN factors ON id = vid"""
-ORACLE["lof_novelty"] = f"""WITH {HOURLY},
+NOVEL = f"""WITH {HOURLY},
 known AS (SELECT * FROM hours WHERE Date < TIMESTAMP '2024-01-20'),
 {NUMBERED.format(source='known')},
 {factors('numbered', squared('a', 'b', COLUMNS), 20, 'b.vid')},
@@ -433,9 +433,15 @@ asked AS (
 own AS (
   SELECT n.qid, 1 / (avg(greatest(k.kdist, sqrt(n.d2))) + 1e-10) AS lrd, avg(d.lrd) AS around
   FROM asked n JOIN kd k ON k.id = n.vid JOIN density d ON d.id = n.vid GROUP BY n.qid),
-result AS (SELECT f.Symbol, f.Date, o.around / o.lrd AS factor FROM fresh f JOIN own o USING (qid))
+result AS (SELECT f.Symbol, f.Date, o.around / o.lrd AS factor FROM fresh f JOIN own o USING (qid))"""
+ORACLE["lof_novelty"] = f"""{NOVEL}
 SELECT Symbol, {TIME} AS Date, round({SCALED}, 6) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly
 FROM result"""
+# a stream is scaled by the range of the training scores
+ORACLE["stream_lof"] = f"""{NOVEL},
+span AS (SELECT min(factor) AS lo, max(factor) AS hi FROM factors)
+SELECT Symbol, {TIME} AS Date, round(greatest(0, least(1, (factor - lo) / (hi - lo))), 6) + 0.0 AS anomaly_score,
+  CAST(factor > 1.5 AS INTEGER) AS is_anomaly FROM result, span"""
 ORACLE["lof_embeddings"] = f"""WITH numbered AS (SELECT vec_id AS vid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 {factors('numbered', 'pow(list_distance(a.e, b.e), 2)', 10, 'b.vid')}
 SELECT vid AS vec_id, round({SCALED}, 5) + 0.0 AS anomaly_score, CAST(factor > 1.5 AS INTEGER) AS is_anomaly

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from barloom.detectors.base import Detector
 from barloom.session import fresh_folder
-from barloom.functions.columns import not_nan
+from barloom.functions.columns import name as column, not_nan
 from barloom.sources.bars import CALENDAR, arrival, interval
 
 
@@ -70,7 +70,7 @@ def stream_bars(
 
 
 def stream_scores(bars: DataFrame, detector: Detector) -> DataFrame:
-    """Score each row of a stream by itself with a fitted detector."""
+    """Score each row of a stream by itself with a fitted detector; detectors that join need ``score_available``."""
     return detector.predict_stream(bars)
 
 
@@ -87,3 +87,23 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def score_available(stream: DataFrame, detector: Detector, name: str) -> DataFrame:
+    """Score what is there, batch by batch, with any fitted detector; the scored rows as a table in the shared folder.
+
+    Every batch has a folder of its own, which a repeated batch overwrites, so each row is there once. The columns are
+    the stream's, then ``anomaly_score`` and ``is_anomaly``; a stream without rows gives an empty table.
+    """
+    spark = stream.sparkSession
+    out = fresh_folder(spark, name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("anomaly_score", T.DoubleType()), T.StructField("is_anomaly", T.IntegerType())])
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+
+    def score(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            detector.score_batch(batch).select(*[column(c) for c in schema.names]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(score).option("checkpointLocation", out + "-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")

@@ -11,7 +11,7 @@ from barloom.detectors.factory import create_detector, load_detector
 from barloom.operators import neighbours
 from barloom.operators.evaluate import number_in_order
 from barloom.session import fresh_folder
-from barloom.streaming.live import read_parquet_stream, run_available, stream_scores
+from barloom.streaming.live import read_parquet_stream, run_available, score_available, stream_scores
 
 FEATURES = ["f1", "f2"]
 KINDS = {
@@ -168,6 +168,24 @@ def test_novel_points(spark, points):
     assert scored[30.0]["is_anomaly"] == 1 and scored[0.5]["is_anomaly"] == 0 and scored[30.0]["anomaly_score"] == 1
 
 
+@pytest.mark.parametrize("kind", ["lof", "isolation_forest"])
+def test_batches_of_a_stream_score_as_a_table(spark, monkeypatch, points, kind):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 64)
+    params = {"n_neighbors": 10, "novelty": True} if kind == "lof" else {"contamination": 0.05}
+    detector = create_detector(kind, **params).fit(points, FEATURES)
+    folder = fresh_folder(spark, "landed")
+    new = points.select(*[(F.col(c) * 1.5).alias(c) for c in FEATURES]).unionByName(spark.createDataFrame([(None, 1.0), (30.0, -30.0)], "f1 double, f2 double"))
+    new.repartition(3).write.parquet(folder)
+    stream = read_parquet_stream(spark, folder, new.schema, files_per_batch=1)
+    got = score_available(stream, detector, "scored").toPandas().sort_values(FEATURES).reset_index(drop=True)
+    want = detector.score_batch(new).toPandas().sort_values(FEATURES).reset_index(drop=True)
+    assert len(got) == new.count() and list(got.columns) == [*FEATURES, "anomaly_score", "is_anomaly"]
+    assert np.allclose(got["anomaly_score"], want["anomaly_score"], rtol=1e-9) and (got["is_anomaly"] == want["is_anomaly"]).all()
+    nothing = fresh_folder(spark, "landed")
+    new.limit(0).write.parquet(nothing)
+    assert score_available(read_parquet_stream(spark, nothing, new.schema), detector, "scored").count() == 0
+
+
 def test_standardise_uses_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert sorted(tuple(r) for r in standardise(df, ["a", "b"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
