@@ -27,8 +27,8 @@ DATE_FORMATS = (
     "MMMM d yyyy",
     "yyyyMMdd",
 )
-# A time that may follow a date.
-TIME_FORMATS = ("", "H:mm", "H:mm:ss", "h:mm a", "h:mm:ss a")
+# A time that may follow a date: hour, minute, second and half of the day.
+TIME_TAIL = r"[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ([AaPp])[Mm])?$"
 # Dates that begin with the year and a dash: an optional time, fraction and zone are read by the cast.
 ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)? ?(Z|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?$"
 
@@ -51,7 +51,7 @@ def to_number(column: Column) -> Column:
 
 # What the letters of a date format stand for in text.
 SHAPES = {
-    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "dd": "[0-9]{2}",
+    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{4,}", "MMM": "(?:[Ss][Ee][Pp][Tt]|[A-Za-z]{3})", "MM": "[0-9]{2}", "dd": "[0-9]{2}",
     **dict.fromkeys(("mm", "ss"), "[0-9]{2}"), **dict.fromkeys("MdHh", "[0-9]{1,2}"), "a": "[AaPp][Mm]", ".": "[.]",
 }
 
@@ -66,21 +66,28 @@ def to_timestamp(column: Column, formats: Sequence[str] = DATE_FORMATS) -> Colum
     """Dates as people and programs write them: year first, or in one of ``formats``, the first that parses.
 
     A time may follow, with seconds and with AM or PM. Month names are English, in any case; years of two digits lie in
-    2000 to 2099. Nothing parses means null. A failed parse costs an exception, so a format is tried only on text of its
-    shape, and the time apart from the date.
+    2000 to 2099. Nothing parses means null. The shape of a text names its format, so there is one attempt to parse it
+    unless formats share a shape; the expression stays small enough to be compiled.
     """
     text = F.trim(column.cast("string"))
     iso = F.when(text.rlike(ISO_DATE), F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp"))
-    time = "|".join(shape(t) for t in TIME_FORMATS if t)
-    split = F.when(text.rlike(f"[ T]({time})$"), F.regexp_extract(text, f"[ T]({time})$", 1)).otherwise("")
-    day = F.initcap(F.trim(F.regexp_replace(text, f"[ T]({time})$", "")))
-    day = F.regexp_replace(F.regexp_replace(day, r"\bSept\b", "Sep"), r"^(May) ", "May ")
-    dates = [F.when(day.rlike(f"^{shape(f)}$"), F.try_to_timestamp(day, F.lit(f))) for f in formats]
-    hour, rest = F.regexp_extract(split, "^([0-9]{1,2}):", 1).try_cast("int"), F.regexp_extract(split, ":([0-9]{2})", 1).try_cast("int")
-    seconds = F.coalesce(F.regexp_extract(split, "^[0-9]{1,2}:[0-9]{2}:([0-9]{2})", 1).try_cast("int"), F.lit(0))
-    half = F.upper(F.regexp_extract(split, "([AaPp])[Mm]$", 1))
-    in_day = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
-    clock = F.when(split == "", F.lit(0)).when((in_day < 24) & (rest < 60) & (seconds < 60), in_day * 3600 + rest * 60 + seconds)
+    day = F.regexp_replace(F.initcap(F.regexp_replace(text, TIME_TAIL, "")), r"\bSept\b", "Sep")
+    by_shape: dict[str, list[str]] = {}
+    for f in formats:
+        by_shape.setdefault(shape(f), []).append(f)
+    tail = "(?:" + TIME_TAIL.removesuffix("$") + ")?$"
+    dates = []
+    for nth in range(max(map(len, by_shape.values()))):
+        chosen = F.lit(None).cast("string")
+        for pattern, among in reversed(by_shape.items()):
+            if nth < len(among):
+                chosen = F.when(text.rlike(f"^{pattern}{tail}"), among[nth]).otherwise(chosen)
+        dates.append(F.try_to_timestamp(day, chosen))
+    hour, minute, second, half = (F.regexp_extract(text, TIME_TAIL, i) for i in (1, 2, 3, 4))
+    number = lambda t: F.coalesce(t.try_cast("int"), F.lit(0))
+    # only hours of 1 to 12 have a half of the day; 12 is the first of it
+    in_day = F.when(half == "", number(hour)).when(number(hour).between(1, 12), number(hour) % 12 + F.when(F.upper(half) == "P", 12).otherwise(0))
+    clock = F.when((in_day < 24) & (number(minute) < 60) & (number(second) < 60), in_day * 3600 + number(minute) * 60 + number(second))
     return F.coalesce(iso, F.coalesce(*dates) + F.make_dt_interval(secs=clock.cast("decimal(18,6)")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from barloom.operators.cleaning import value_columns
 REQUIRED = ("Date", "Open", "High", "Low", "Close")
 OPTIONAL = ("Adj_Close", "Volume", "Symbol")
 UNKNOWN = "UNKNOWN"
+# Why a row is left out, in the order of the checks.
+REASONS = ("no_date", "bad_date", "no_close", "bad_close")
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -33,6 +35,35 @@ def coerce_dates(df: DataFrame, column: str = "Date", formats: Sequence[str] = D
     return df.withColumn(column, parsed).filter(F.col(column).isNotNull())
 
 
+def reason(df: DataFrame) -> Column:
+    """Why a row of mapped columns can't be used: the first of ``REASONS`` that holds, null for a usable row.
+
+    Text that holds no date or number is told apart from a missing value; blanks are missing.
+    """
+
+    def text(c: str) -> Column:
+        return F.trim(F.col(c).cast("string"))
+
+    parsed = to_timestamp(F.col("Date")) if isinstance(df.schema["Date"].dataType, T.StringType) else F.col("Date").cast("timestamp")
+    number = to_number(F.col("Close")) if isinstance(df.schema["Close"].dataType, T.StringType) else not_nan(F.col("Close"))
+    return (
+        F.when(F.coalesce(text("Date"), F.lit("")) == "", REASONS[0])
+        .when(parsed.isNull(), REASONS[1])
+        .when(F.coalesce(text("Close"), F.lit("")).isin("", "NaN"), REASONS[2])
+        .when(number.isNull(), REASONS[3])
+    )
+
+
+def watched(df: DataFrame, watch: Observation) -> DataFrame:
+    """Count mapped rows by their fate while they pass: ``rows`` and one number for each of ``REASONS``.
+
+    The counts cost no pass of their own; ``watch.get`` has them once an action has read the table.
+    """
+    why = reason(df)
+    counts = [F.count_if(F.coalesce(why == r, F.lit(False))).alias(r) for r in REASONS]
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *counts)
+
+
 def drop_invalid_close(df: DataFrame) -> DataFrame:
     return df.filter(F.col("Close").isNotNull())
 

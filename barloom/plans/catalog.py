@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.detectors.base import contamination_cut, minmax_score, standardise
@@ -16,9 +16,9 @@ from barloom.plans.pipeline import analyze, bake_off, process
 from barloom.session import cut_lineage, fresh_folder
 from barloom.sources import readers
 from barloom.sources.bars import rebucket, to_bars
-from barloom.sources.mapping import apply_mapping, normalise_columns, suggest_mapping
+from barloom.sources.mapping import apply_mapping, find_column, normalise_columns, suggest_mapping
 from barloom.sources.sinks import write_table
-from barloom.streaming.live import read_parquet_stream, run_available, score_available, stream_bars, stream_scores
+from barloom.streaming.live import latest_bars, read_parquet_stream, run_available, score_available, stream_bars, stream_revisions, stream_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,6 +179,14 @@ def map_columns(spark, sf_dir):
     return shown(apply_mapping(renamed, suggest_mapping(renamed)))
 
 
+@query
+def found_column(spark, sf_dir):
+    """The first column whose name holds a word, whatever the case around it."""
+    bars = daily(spark, sf_dir).select("Symbol", "Date", F.col("Open").alias("Last CLOSED at"), F.col("Close").alias("close"))
+    assert find_column(bars, "volume") is None
+    return shown(bars.select("Symbol", "Date", name(find_column(bars, "Close")).alias("found")))
+
+
 @query
 def keyword_columns(spark, sf_dir):
     bars = daily(spark, sf_dir).select(
@@ -391,6 +399,12 @@ def column_info(spark, sf_dir):
     return profile.column_info(dirty(spark, sf_dir)).drop("type")
 
 
+@query
+def column_types(spark, sf_dir):
+    """Column information of a table as it is stored, types included."""
+    return profile.column_info(table(spark, sf_dir, "lineitem"))
+
+
 @query
 def histogram(spark, sf_dir):
     return rounded(profile.histogram(daily(spark, sf_dir), "Close"), 3)
@@ -519,6 +533,15 @@ def saved_detector(spark, sf_dir):
     return with_new(load_detector(spark, path).predict(bars), "anomaly_score", "is_anomaly", digits=6)
 
 
+@query
+def saved_lof(spark, sf_dir):
+    """A detector with its training rows and densities, saved, loaded and applied to new rows."""
+    bars = cut_lineage(hourly(spark, sf_dir))
+    lof = create_detector("lof", n_neighbors=20, novelty=True).fit(bars.filter(F.col("Date") < "2024-01-20"), OHLCV)
+    loaded = load_detector(spark, lof.save(fresh_folder(spark, "lof"), spark))
+    return shown_at(loaded.predict(bars.filter(F.col("Date") >= "2024-01-20")).select("Symbol", "Date", "anomaly_score", "is_anomaly"), 6)
+
+
 @query
 def upload_autodetect(spark, sf_dir):
     path = write_table(raw_prices(spark, sf_dir), fresh_folder(spark, "upload"), "csv")
@@ -668,6 +691,96 @@ def json_xml_csv_same_bars(spark, sf_dir):
     return shown(readers.union_symbols(*loaded), 2)
 
 
+def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of a symbol and year as one list of records, for files of one document each."""
+    price = F.struct(*[F.col(c).alias(c.lower()) for c in ("Open", "High", "Low")], F.struct(F.col("Close").alias("last")).alias("close"))
+    day = F.struct(F.date_format("Date", "yyyy-MM-dd").alias("day"), price.alias("price"), F.col("Volume").cast("bigint").alias("volume"))
+    return daily(spark, sf_dir).groupBy("Symbol", F.year("Date").alias("year")).agg(F.collect_list(day).alias("days"))
+
+
+def documents_of(rows: DataFrame, json: str, path: str) -> str:
+    """Each row as a file of its own, over several lines as people write JSON."""
+    text = F.regexp_replace(F.expr(json), r"([\[{,])", "$1\n  ")
+    rows.select(F.concat_ws("-", F.substring("Symbol", 1, 1), "year").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+NESTED = {"Symbol": "ticker", "Date": "day", "Open": "price.open", "High": "price.high", "Low": "price.low", "Close": "price.close.last", "Volume": "volume"}
+
+
+@query
+def json_nested(spark, sf_dir):
+    """Documents of one object that holds a list of records, with objects inside, and values beside the list."""
+    whole = "to_json(struct(struct(year) as about, Symbol as ticker, array(1, 2) as codes, days as results))"
+    path = documents_of(yearly(spark, sf_dir), whole, fresh_folder(spark, "nested"))
+    return shown(readers.load_bars(spark, path, "json", NESTED), 2, "Symbol", "Date", *OHLCV)
+
+
+@query
+def json_records(spark, sf_dir):
+    """Documents that are arrays of records."""
+    whole = "to_json(transform(days, d -> struct(Symbol as ticker, d.day, d.price, d.volume)))"
+    path = documents_of(yearly(spark, sf_dir), whole, fresh_folder(spark, "arrays"))
+    return shown(readers.load_bars(spark, path, "json", NESTED), 2, "Symbol", "Date", *OHLCV)
+
+
+@query
+def xml_found_tag(spark, sf_dir):
+    """XML whose record tag nobody names, in several files that share a root."""
+    path = fresh_folder(spark, "tags")
+    raw = raw_prices(spark, sf_dir).withColumn("Close", F.struct(name("Close/Last").alias("Last"))).drop("Close/Last")
+    raw.repartition(4, "Symbol", "Date").write.format("xml").option("rootTag", "prices").option("rowTag", "quote").save(path)
+    return shown(readers.load_bars(spark, path, "xml"), 2, "Symbol", "Date", *OHLCV)
+
+
+@query
+def parquet_symbols(spark, sf_dir):
+    """Symbols that look like numbers, through Parquet without a schema."""
+    bars = daily(spark, sf_dir).withColumn("Symbol", F.concat(F.lit("070"), F.substring("Symbol", 1, 1)))
+    path = write_table(bars, fresh_folder(spark, "symbols"))
+    return shown(readers.load_bars(spark, path, "parquet"), 4, "Symbol", "Date", *OHLCV)
+
+
+def told_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a price file, with every spelling of dates, some of none, and closes that are missing or no number."""
+    key = F.col("o_orderkey")
+    spellings = ["yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "dd.MM.yyyy", "d-MMM-yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy/M/d h:mm a", "M/d/yyyy H:mm"]
+    date = F.get(F.array(*[F.date_format("o_orderdate", s) for s in spellings]), (key % len(spellings)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("_row"),
+        F.col("o_orderpriority").alias("Symbol"),
+        F.when(key % 41 == 0, "soon").when(key % 43 == 0, None).when(key % 47 == 0, "31/31/1996").otherwise(date).alias("Date"),
+        F.when(key % 31 == 0, "n/a").when(key % 37 == 0, " ").otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("Close/Last"),
+    )
+
+
+@query
+def date_shapes(spark, sf_dir):
+    """Every spelling of a date, read back."""
+    dates = quality.coerce_dates(told_dates(spark, sf_dir)).select(F.col("_row").alias("order_key"), F.date_format("Date", "yyyy-MM-dd HH:mm").alias("read"))
+    return dates
+
+
+@query
+def rejected_rows(spark, sf_dir):
+    """What a load leaves out and why, as it stands in the file."""
+    told = told_dates(spark, sf_dir)
+    path = write_table(told.withColumnRenamed("_row", "Volume"), fresh_folder(spark, "told"), "csv")
+    left_out = readers.load_rejected(spark, path, "csv", require="close")
+    return left_out.select(F.col("Volume").cast("bigint").alias("order_key"), "Symbol", "Date", "Close", "reason")
+
+
+@query
+def load_report(spark, sf_dir):
+    """How many rows a load read, kept and left out by reason, counted in the pass that loads."""
+    path = write_table(told_dates(spark, sf_dir).drop("_row"), fresh_folder(spark, "told"), "csv")
+    watch, kept = Observation(), fresh_folder(spark, "kept")
+    readers.load_bars(spark, path, "csv", require="close", watch=watch).write.parquet(kept)
+    counts = {c: F.lit(int(n)).cast("bigint") for c, n in watch.get.items()}
+    report = quality.quality_report(spark.read.parquet(kept)).select("usable_rows", F.col("first_date").cast("date"), F.col("last_date").cast("date"))
+    return report.withColumns(counts)
+
+
 @query
 def vendor_payload(spark, sf_dir):
     """One payload per symbol and year, written as text and read back."""
@@ -723,6 +836,34 @@ def stream_hourly_bars(spark, sf_dir):
     return shown_at(run_available(bars, "stream-bars"))
 
 
+@query
+def stream_weekly_bars(spark, sf_dir):
+    """Weeks from Monday, each emitted once it has passed."""
+    bars = stream_bars(event_stream(spark, sf_dir), "ts", "value", "event_type", "1 week", order_by=["ts", "event_id"])
+    return shown_at(run_available(bars, "stream-weeks"))
+
+
+def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed in four files without regard to their dates, one file a batch: nothing is too late for revisions."""
+    landed, orders = fresh_folder(spark, "orders"), table(spark, sf_dir, "orders")
+    orders.repartition(4, "o_orderkey").write.parquet(landed)
+    return read_parquet_stream(spark, landed, orders.schema, files_per_batch=1)
+
+
+@query
+def stream_monthly_bars(spark, sf_dir):
+    """Bars of months from a stream, revised batch by batch, those still open included."""
+    bars = stream_revisions(order_stream(spark, sf_dir), "o_orderdate", "o_totalprice", "o_orderpriority", "1 month", order_by=["o_orderdate", "o_orderkey"])
+    return shown(latest_bars(bars, "stream-months"))
+
+
+@query
+def stream_all_hours(spark, sf_dir):
+    """Hourly bars of a stream with the last ones, which wait for no watermark."""
+    bars = stream_revisions(event_stream(spark, sf_dir), "ts", "value", "event_type", "1 hour", order_by=["ts", "event_id"])
+    return shown_at(latest_bars(bars, "stream-hours"))
+
+
 @query
 def stream_score(spark, sf_dir):
     bars = cut_lineage(hourly(spark, sf_dir))

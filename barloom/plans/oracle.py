@@ -573,3 +573,53 @@ FROM scored, (VALUES ('parquet'), ('csv'), ('json')) AS s(source) WHERE is_anoma
 ORACLE["stream_hourly_bars"] = f"""WITH {HOURLY}
 SELECT Symbol, {TIME} AS Date, {rounded(COLUMNS)} FROM hours
 WHERE Date + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+# the window of a week ends seven days after its Monday
+ORACLE["stream_weekly_bars"] = f"""WITH weeks AS (
+  SELECT event_type AS Symbol, CAST(date_trunc('week', ts) AS TIMESTAMP) AS Date, arg_min(value, ts) AS Open,
+         max(value) AS High, min(value) AS Low, arg_max(value, ts) AS Close, CAST(count(*) AS DOUBLE) AS Volume
+  FROM events GROUP BY 1, 2)
+SELECT Symbol, {TIME} AS Date, {rounded(COLUMNS)} FROM weeks
+WHERE Date + INTERVAL 7 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+ORACLE["stream_all_hours"] = ORACLE["bars_hourly"]
+ORACLE["stream_monthly_bars"] = f"""WITH months AS (
+  SELECT o_orderpriority AS Symbol, CAST(date_trunc('month', o_orderdate) AS DATE) AS Date,
+         arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS Open, max(o_totalprice) AS High, min(o_totalprice) AS Low,
+         arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS Close, CAST(count(*) AS DOUBLE) AS Volume
+  FROM orders GROUP BY 1, 2)
+SELECT {SHOWN} FROM months"""
+
+# --- what files hold ----------------------------------------------------------------
+
+ORACLE["json_nested"] = f"WITH {BARS} SELECT Symbol, Date, {rounded(COLUMNS, 2)} FROM bars"
+ORACLE["json_records"] = ORACLE["xml_found_tag"] = ORACLE["json_nested"]
+ORACLE["parquet_symbols"] = f"WITH {BARS} SELECT '070' || Symbol[1] AS Symbol, Date, {rounded(COLUMNS)} FROM bars"
+ORACLE["found_column"] = f"WITH {BARS} SELECT Symbol, Date, {rounded({'found': 'Open'})} FROM bars"
+ORACLE["saved_lof"] = ORACLE["lof_novelty"]
+ORACLE["column_types"] = "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{kind}' AS type, count({c}) AS non_null, count(*) - count({c}) AS nulls,
+    round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct FROM lineitem"""
+    for c, kind in {
+        **dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey"), "bigint"), "l_linenumber": "int",
+        **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "double"),
+        "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+    }.items()
+)
+SPELLINGS = ["%Y-%m-%d", "%m/%d/%Y", "%Y%m%d", "%d.%m.%Y", "%-d-%b-%Y", "%B %-d, %Y", "%-d %b %Y", "%Y/%-m/%-d %-I:%M %p", "%-m/%-d/%Y %-H:%M"]
+TOLD = f"""told AS (
+  SELECT o_orderkey AS k, o_orderpriority AS Symbol, o_orderdate AS moment,
+         CASE WHEN k % 41 = 0 THEN 'soon' WHEN k % 43 = 0 THEN NULL WHEN k % 47 = 0 THEN '31/31/1996'
+              ELSE CASE k % {len(SPELLINGS)} {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{s}')" for i, s in enumerate(SPELLINGS))} END END AS Date,
+         CASE WHEN k % 31 = 0 THEN 'n/a' WHEN k % 37 = 0 THEN NULL ELSE printf('$%,.2f', o_totalprice) END AS Close,
+         CASE WHEN Date IS NULL THEN 'no_date' WHEN k % 41 = 0 OR k % 47 = 0 THEN 'bad_date'
+              WHEN Close IS NULL THEN 'no_close' WHEN k % 31 = 0 THEN 'bad_close' END AS reason
+  FROM orders)"""
+ORACLE["date_shapes"] = f"""WITH {TOLD}
+SELECT k AS order_key, strftime(CASE WHEN k % {len(SPELLINGS)} >= 7 THEN moment ELSE date_trunc('day', moment) END, '%Y-%m-%d %H:%M') AS read
+FROM told WHERE reason IS NULL OR reason NOT IN ('no_date', 'bad_date')"""
+ORACLE["rejected_rows"] = f"""WITH {TOLD}
+SELECT k AS order_key, Symbol, Date, Close, reason FROM told WHERE reason IS NOT NULL"""
+ORACLE["load_report"] = f"""WITH {TOLD}
+SELECT count(*) AS "rows", count(*) FILTER (reason IS NULL) AS usable_rows,
+       {', '.join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ('no_date', 'bad_date', 'no_close', 'bad_close'))},
+       CAST(min(moment) FILTER (reason IS NULL) AS DATE) AS first_date, CAST(max(moment) FILTER (reason IS NULL) AS DATE) AS last_date
+FROM told"""

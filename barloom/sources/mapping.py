@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import name
@@ -13,6 +13,8 @@ from barloom.operators.quality import (
     REQUIRED,
     coerce_dates,
     coerce_numbers,
+    reason,
+    watched,
     with_defaults,
 )
 
@@ -95,14 +97,8 @@ def normalise_columns(df: DataFrame, symbol: str | None = None) -> DataFrame:
     return df
 
 
-def apply_mapping(
-    df: DataFrame, mapping: Mapping[str, str] | None = None, require: str = "ohlc", symbol: str = "UNKNOWN"
-) -> DataFrame:
-    """Project to canonical columns, parse dates and numbers and fill in defaults.
-
-    ``require="close"`` accepts tables with only Date and Close. The loader's ``_row``
-    is kept for de-duplication.
-    """
+def mapped(df: DataFrame, mapping: Mapping[str, str] | None = None, require: str = "ohlc") -> DataFrame:
+    """The canonical columns as they come, and the loader's ``_row``."""
     mapping = dict(mapping) if mapping is not None else suggest_mapping(df)
     missing = [c for c in ALWAYS[require] if c not in mapping]
     if missing:
@@ -111,5 +107,28 @@ def apply_mapping(
     kept = [name(mapping[c]).alias(c) for c in known]
     if "_row" in df.columns:
         kept.append(F.col("_row"))
-    bars = coerce_numbers(coerce_dates(df.select(*kept)))
-    return with_defaults(bars, symbol)
+    return df.select(*kept)
+
+
+def apply_mapping(
+    df: DataFrame,
+    mapping: Mapping[str, str] | None = None,
+    require: str = "ohlc",
+    symbol: str = "UNKNOWN",
+    watch: Observation | None = None,
+) -> DataFrame:
+    """Project to canonical columns, parse dates and numbers and fill in defaults.
+
+    ``require="close"`` accepts tables with only Date and Close. The loader's ``_row``
+    is kept for de-duplication. ``watch`` counts what is left out, see ``quality.watched``.
+    """
+    chosen = mapped(df, mapping, require)
+    if watch is not None:
+        chosen = watched(chosen, watch)
+    return with_defaults(coerce_numbers(coerce_dates(chosen)), symbol)
+
+
+def rejected(df: DataFrame, mapping: Mapping[str, str] | None = None, require: str = "ohlc") -> DataFrame:
+    """The rows that loading leaves out, with their values as they came and the ``reason``."""
+    chosen = mapped(df, mapping, require)
+    return chosen.withColumn("reason", reason(chosen)).filter("reason IS NOT NULL")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import name, not_nan, to_timestamp
 from barloom.operators.quality import drop_invalid_close, with_defaults
-from barloom.sources.mapping import apply_mapping
+from barloom.sources.mapping import apply_mapping, rejected
 
 # Extensions and the reader each one means.
 FORMATS = {".csv": "csv", ".json": "json", ".xml": "xml", ".parquet": "parquet"}
@@ -89,7 +89,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
 
 
 def find_row_tag(spark: SparkSession, path: str) -> str:
-    """The first element in document order that occurs more than once, else the root.
+    """The first element in document order that occurs more than once in a file, else the root.
 
     All tags of all files are counted where they lie; in a folder, files follow by name.
     """
@@ -97,7 +97,8 @@ def find_row_tag(spark: SparkSession, path: str) -> str:
     tags = F.regexp_extract_all("shown", F.lit(r"<([A-Za-z_][\w.\-]*)"), F.lit(1))
     lines = without_comments(lines).select("file", "line", tags.alias("tags"))
     found = lines.select("file", "line", F.posexplode("tags").alias("at", "tag"))
-    first = found.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line", "at")).alias("first"))
+    by_file = found.groupBy("tag", "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line", "at")).alias("first"))
+    first = by_file.groupBy("tag").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     best = first.orderBy((F.col("n") > 1).desc(), "first").first()
     if best is None:
         raise ValueError(f"no XML elements in {path}")
@@ -153,10 +154,12 @@ def load_bars(
     symbol: str | None = None,
     row_tag: str | None = None,
     drop_invalid: bool = True,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """Read a file or a glob of files as canonical bars, by default without rows lacking Close.
 
-    Without a Symbol column the symbol is the given one, or else the file's name.
+    Without a Symbol column the symbol is the given one, or else the file's name. ``watch`` counts, in the pass of the
+    first action on the result, the rows read and those left out by reason (``quality.REASONS``).
     """
     raw = read_table(spark, path, fmt, row_tag)
     if symbol is None:
@@ -166,7 +169,23 @@ def load_bars(
         bars = drop_invalid_close(bars)
     if bars.isEmpty():
         raise ValueError(f"no valid rows in {path}")
-    return bars
+    if watch is None:
+        return bars
+    # only now, as the look for a first row would have been the action that is counted
+    counted = apply_mapping(number_rows(raw), mapping, require, symbol or "UNKNOWN", watch)
+    return drop_invalid_close(counted) if drop_invalid else counted
+
+
+def load_rejected(
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    mapping: Mapping[str, str] | None = None,
+    require: str = "ohlc",
+    row_tag: str | None = None,
+) -> DataFrame:
+    """The rows of a file that ``load_bars`` leaves out: mapped values as they stand there, and the ``reason``."""
+    return rejected(number_rows(tag_by_file(read_table(spark, path, fmt, row_tag))), mapping, require)
 
 
 def tag_by_file(df: DataFrame) -> DataFrame:

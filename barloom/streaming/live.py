@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.detectors.base import Detector
 from barloom.session import fresh_folder
 from barloom.functions.columns import name as column, not_nan
-from barloom.sources.bars import CALENDAR, arrival, interval
+from barloom.sources.bars import CALENDAR, arrival, bar_start, interval
 
 
 def read_parquet_stream(
@@ -24,6 +24,27 @@ def read_parquet_stream(
     return reader.parquet(folder)
 
 
+def usable_ticks(ticks: DataFrame, ts: str, price: str, symbol: str, quantity: str | None, order_by: Sequence[str]) -> DataFrame:
+    """Ticks that have a time and a price, under the names the aggregates use."""
+    return ticks.filter(F.col(ts).isNotNull() & not_nan(F.col(price)).isNotNull()).select(
+        F.coalesce(F.col(symbol).cast("string"), F.lit("UNKNOWN")).alias("Symbol"),
+        F.col(ts).cast("timestamp").alias("_ts"),
+        F.col(price).cast("double").alias("_price"),
+        arrival(ticks, order_by or [ts]).alias("_order"),
+        (F.col(quantity).cast("double") if quantity else F.lit(1.0)).alias("_volume"),
+    )
+
+
+def folds() -> list[Column]:
+    return [
+        F.min_by("_price", "_order").alias("Open"),
+        F.max("_price").alias("High"),
+        F.min("_price").alias("Low"),
+        F.max_by("_price", "_order").alias("Close"),
+        F.sum("_volume").alias("Volume"),
+    ]
+
+
 def stream_bars(
     ticks: DataFrame,
     ts: str,
@@ -37,38 +58,72 @@ def stream_bars(
     """Bars of tumbling windows, each emitted once the watermark passes its end.
 
     Ticks later than ``late`` are dropped, as are those without a time or a price. State is one row per open bar. Weeks
-    begin on Monday, as in batch; months and quarters have no fixed length, so a stream can't close them. Bars still
-    open when a stream ends are not emitted: a batch run over the same ticks has them.
+    begin on Monday, as in batch; months and quarters have no fixed length, so windows can't close them. Bars still
+    open when a stream ends are not emitted: ``stream_revisions`` has them, and months and quarters.
     """
     count, unit = interval(every)
     if unit in ("month", "quarter"):
-        raise ValueError(f"bars of a stream can't last a {unit}: combine daily bars with rebucket")
+        raise ValueError(f"bars that close can't last a {unit}: take stream_revisions")
     # windows count from 1970-01-01, a Thursday
     start = "4 days" if (count, unit) == (1, "week") and unit in CALENDAR else None
-    order = arrival(ticks, order_by or [ts])
-    volume = F.sum(F.col(quantity).cast("double")) if quantity else F.count(F.lit(1)).cast("double")
     return (
-        ticks.filter(F.col(ts).isNotNull() & not_nan(F.col(price)).isNotNull())
-        .select(
-            F.coalesce(F.col(symbol).cast("string"), F.lit("UNKNOWN")).alias("Symbol"),
-            F.col(ts).cast("timestamp").alias("_ts"),
-            F.col(price).cast("double").alias("_price"),
-            order.alias("_order"),
-            *([F.col(quantity)] if quantity else []),
-        )
+        usable_ticks(ticks, ts, price, symbol, quantity, order_by)
         .withWatermark("_ts", late)
         .groupBy("Symbol", F.window("_ts", every, startTime=start).alias("_w"))
-        .agg(
-            F.min_by("_price", "_order").alias("Open"),
-            F.max("_price").alias("High"),
-            F.min("_price").alias("Low"),
-            F.max_by("_price", "_order").alias("Close"),
-            volume.alias("Volume"),
-        )
+        .agg(*folds())
         .select("Symbol", F.col("_w.start").alias("Date"), "Open", "High", "Low", "Close", "Volume")
     )
 
 
+def stream_revisions(
+    ticks: DataFrame,
+    ts: str,
+    price: str,
+    symbol: str,
+    every: str = "1 month",
+    quantity: str | None = None,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """Bars of any interval, months and quarters included, each emitted anew in every batch that changes it.
+
+    For update mode: nothing waits for a watermark and no tick is too late, so open bars are there as well, and after
+    the last batch the newest revisions are the bars of a batch run. State holds one row per bar ever seen, which
+    calendar intervals keep small. ``latest_bars`` runs it and keeps the newest revisions.
+    """
+    return (
+        usable_ticks(ticks, ts, price, symbol, quantity, order_by)
+        .groupBy("Symbol", bar_start(F.col("_ts"), every).alias("Date"))
+        .agg(*folds())
+    )
+
+
+def latest_bars(revisions: DataFrame, name: str) -> DataFrame:
+    """Process what is there and give the newest revision of every bar, from a table in the shared folder.
+
+    A batch writes a folder of its own and overwrites it if it is repeated. The folder holds all revisions; reading
+    them takes one aggregation on (Symbol, Date), combined before its shuffle.
+    """
+    spark = revisions.sparkSession
+    out = fresh_folder(spark, name)
+    spark.createDataFrame([], revisions.schema).write.parquet(f"{out}/batch=-1")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        revisions.writeStream.foreachBatch(keep)
+        .outputMode("update")
+        .option("checkpointLocation", out + "-progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = T.StructType([*revisions.schema.fields, T.StructField("batch", T.LongType())])
+    values = [c for c in revisions.columns if c not in ("Symbol", "Date")]
+    newest = F.max_by(F.struct(*values), "batch").alias("_bar")
+    return spark.read.schema(written).parquet(out).groupBy("Symbol", "Date").agg(newest).select("Symbol", "Date", "_bar.*")
+
+
 def stream_scores(bars: DataFrame, detector: Detector) -> DataFrame:
     """Score each row of a stream by itself with a fitted detector; detectors that join need ``score_available``."""
     return detector.predict_stream(bars)
