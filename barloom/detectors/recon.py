@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,11 @@ from barloom.detectors.base import RAW, Detector, moments
 from barloom.operators.evaluate import number_in_order
 from barloom.session import cut_lineage
 
-SHARD_ROWS = 50_000
 VARIANCE = 0.9
+#: Partial sums that the driver takes at once; more tasks are summed in groups first.
+DRIVER_SUMS = 64
+#: Steps that the curvature is estimated from, and halvings of a step that does not lower the loss.
+MEMORY, HALVINGS = 10, 6
 
 
 class Autoencoder(Detector):
@@ -26,6 +31,12 @@ class Autoencoder(Detector):
     variance), the optimum of a linear autoencoder (Baldi and Hornik 1989). ``mode="mlp"``
     trains dense layers. Both standardise with training moments and cut at a
     quantile of the training errors.
+
+    Dense layers learn from gradients summed over all rows, one job for each, by limited-memory BFGS: the same
+    algorithm and the same sums at every size and partitioning. ``epochs`` bounds these passes, ``learning_rate`` is
+    the most a weight moves in the first step, before any curvature is known, and dropped units are fixed per row by a
+    seeded hash, so that all passes have one loss. ``batch_size`` has no effect on sums over all rows; it is accepted
+    for configurations that name it.
     """
 
     kind = "autoencoder"
@@ -77,52 +88,32 @@ class Autoencoder(Detector):
         self.state["components"] = fitted.pc.toArray()[:, :kept].tolist()
 
     def learn_layers(self, df: DataFrame) -> None:
-        """Adam over mini-batches within shards, weights averaged after every epoch.
+        """Limited-memory BFGS; the last rows by date validate.
 
-        Shards hold a bounded number of rows, so an epoch is one job whatever the size.
-        Its averages are sums per weight; the driver sees one row per weight. The last rows by
-        date validate; training stops when they stop improving and returns to the best weights.
+        Training stops when they stop improving and returns to the best weights. A pass sends one packed row of sums
+        per task; beyond ``DRIVER_SUMS`` tasks these are added in groups, so that the driver takes as many as the
+        square root of the tasks.
         """
         p, seed = self.params, int(self.params["random_state"])
         z = self.scaled(df)
         by_date = [F.col(c) for c in ("Date", "Symbol") if c in df.columns]
         order = [*by_date, F.xxhash64(F.lit(seed), z), z]
-        # numbered rows are materialised, so shards and validation rows stay the same
+        # numbered rows are materialised, so dropped units and validation rows stay the same
         numbered = cut_lineage(number_in_order(df.select(z.alias("z"), *df.columns), order, "_nth").select("z", "_nth"))
         size = numbered.count()
         train_rows = size - math.floor(size * float(p["validation_split"]))
-        shards = max(1, math.ceil(size / SHARD_ROWS))
-        data = cut_lineage(
-            numbered.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "_nth"), F.lit(shards)))
-            .withColumn("held_out", F.col("_nth") > train_rows)
-            .repartition(max(1, min(shards, 4096)), "shard")
-        )
+        data = numbered.select("z", F.xxhash64(F.lit(seed), "_nth").alias("key"), (F.col("_nth") > train_rows).alias("held_out"))
         sizes = layer_sizes(len(self.feature_columns), p["hidden_layers"], int(p["encoding_dim"] or 10))
-        weights = initial_weights(sizes, seed)
-        slopes, squares, steps = np.zeros_like(weights), np.zeros_like(weights), 0.0
-        best, best_loss, waited = weights, math.inf, 0
-        for epoch in range(int(p["epochs"]) + 1):
-            packed = data.sparkSession.sparkContext.broadcast((weights, slopes, squares, steps))
-            last = epoch == int(p["epochs"])
-            task = epoch_task(packed, sizes, p, seed, epoch, learn=not last)
-            moved = data.groupBy("shard").applyInPandas(task, "part string, pos int, total double, n double")
-            rows = moved.groupBy("part", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
-            average = {(r["part"], r["pos"]): r["total"] / r["n"] if r["n"] else math.nan for r in rows}
-            loss = average.get(("loss", 0), math.nan)  # of the weights this epoch started from
-            if not math.isnan(loss):
-                if loss < best_loss:
-                    best, best_loss, waited = weights, loss, 0
-                else:
-                    waited += 1
-            else:
-                best = weights
-            packed.unpersist()
-            if last or waited >= int(p["patience"]):
-                break
-            weights, slopes, squares = (
-                np.array([average[part, i] for i in range(len(weights))]) for part in ("weight", "slope", "square")
-            )
-            steps = average["steps", 0]
+        dropped = [i for i in range(len(sizes) - 2) if i != len(p["hidden_layers"])]  # all but the code layer
+        drop = float(p["dropout_rate"])
+
+        def evaluate(weights: np.ndarray) -> tuple[float, np.ndarray, float]:
+            """Training loss, its gradient and the validation loss, of one pass."""
+            sums = summed(data, partial_sums(weights, sizes, dropped if drop else [], drop), len(weights) + 4)
+            loss, rows, held_loss, held_rows = sums[:4]
+            return loss / max(rows, 1), sums[4:] / max(rows, 1), held_loss / held_rows if held_rows else math.nan
+
+        best = minimise(evaluate, initial_weights(sizes, seed), int(p["epochs"]), float(p["learning_rate"]), int(p["patience"]))
         self.state["layers"] = {"sizes": sizes, "weights": best.tolist()}
 
     def raw_scores(self, df: DataFrame) -> DataFrame:
@@ -192,37 +183,104 @@ def gradient(x: np.ndarray, layers: list, masks: dict[int, np.ndarray]) -> np.nd
     return np.concatenate(parts)
 
 
-def epoch_task(packed, sizes: list[int], params: dict, seed: int, epoch: int, learn: bool):
-    """One shard's epoch: its validation loss before, then its weights after."""
-    batch, rate, drop = int(params["batch_size"]), float(params["learning_rate"]), float(params["dropout_rate"])
-    dropped = [i for i in range(len(sizes) - 2) if i != len(params["hidden_layers"])]  # all but the code layer
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights, slopes, squares, steps = (np.copy(v) for v in packed.value)
-        pdf = pdf.sort_values("_nth")
-        z, held = np.stack(pdf["z"].to_numpy()), pdf["held_out"].to_numpy(dtype=bool)
-        out = []
-        if held.any():
-            rebuilt = forward(z[held], unpack(weights, sizes))[-1]
-            out.append(pd.DataFrame({"part": "loss", "pos": [0], "total": ((rebuilt - z[held]) ** 2).mean(axis=1).sum(), "n": float(held.sum())}))
-        x = z[~held]
-        if learn and len(x):
-            rng = np.random.default_rng([seed, epoch, int(pdf["shard"].iloc[0])])
-            x = x[rng.permutation(len(x))]
-            steps = float(steps)
-            for at in range(0, len(x), batch):
-                part = x[at : at + batch]
-                masks = {i: (rng.random((len(part), sizes[i + 1])) >= drop) / (1 - drop) for i in dropped} if drop else {}
-                g = gradient(part, unpack(weights, sizes), masks)
-                steps += 1
-                slopes = 0.9 * slopes + 0.1 * g
-                squares = 0.999 * squares + 0.001 * g * g
-                step = (slopes / (1 - 0.9**steps)) / (np.sqrt(squares / (1 - 0.999**steps)) + 1e-7)
-                weights = weights - rate * step
-            n = float(len(x))
-            for name, values in (("weight", weights), ("slope", slopes), ("square", squares), ("steps", np.array([steps]))):
-                out.append(pd.DataFrame({"part": name, "pos": np.arange(len(values)), "total": values * n, "n": n}))
-        columns = {"part": [], "pos": [], "total": [], "n": []}
-        return pd.concat(out) if out else pd.DataFrame(columns)
+def unit_masks(keys: np.ndarray, sizes: list[int], layers: list[int], drop: float) -> dict[int, np.ndarray]:
+    """Which units of a row stay, scaled so that sums keep their size: a hash of the row's key and the unit."""
+    masks = {}
+    for i in layers:
+        unit = np.arange(sizes[i + 1], dtype=np.uint64) + np.uint64(i << 32)
+        mixed = (keys.astype(np.uint64)[:, None] ^ (unit[None, :] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        masks[i] = ((mixed >> np.uint64(11)) * 2.0**-53 >= drop) / (1 - drop)
+    return masks
+
+
+def partial_sums(weights: np.ndarray, sizes: list[int], dropped: list[int], drop: float) -> Callable:
+    """One packed row per task: loss and rows of training, of validation, then the gradient; all are sums over rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layers, total = unpack(weights, sizes), np.zeros(len(weights) + 4)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            x = z[~held]
+            if len(x):
+                masks = unit_masks(keys[~held], sizes, dropped, drop)
+                total[0] += ((forward(x, layers, masks)[-1] - x) ** 2).mean(axis=1).sum()
+                total[1] += len(x)
+                total[4:] += gradient(x, layers, masks) * len(x)
+            y = z[held]
+            if len(y):
+                total[2] += ((forward(y, layers)[-1] - y) ** 2).mean(axis=1).sum()
+                total[3] += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
     return run
+
+
+def summed(data: DataFrame, task: Callable, width: int) -> np.ndarray:
+    """The packed rows of all tasks added up."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for row in batch.column("sums").to_pylist():
+                total += row
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    rows = data.mapInArrow(task, "sums array<double>")
+    tasks = data.rdd.getNumPartitions()
+    if tasks > DRIVER_SUMS:
+        rows = rows.repartition(math.isqrt(tasks)).mapInArrow(add, "sums array<double>")
+    return np.sum([r["sums"] for r in rows.collect()], axis=0)
+
+
+def minimise(evaluate: Callable, weights: np.ndarray, passes: int, first: float, patience: int) -> np.ndarray:
+    """Limited-memory BFGS with steps halved until they lower the loss (Nocedal and Wright, chapter 7).
+
+    ``evaluate`` gives loss, gradient and validation loss (NaN without validation rows). At most ``passes`` evaluations
+    follow the first one. The weights of the least validation loss come back, or the last ones without it.
+    """
+    loss, slope, held = evaluate(weights)
+    best, best_held, waited, pairs = weights, held, 0, []
+    while passes > 0 and waited < patience:
+        direction = -curved(slope, pairs)
+        steep = float(direction @ slope)
+        if not steep < 0:
+            break
+        step = 1.0 if pairs else first / max(float(np.abs(direction).max()), 1e-300)
+        for _ in range(HALVINGS):
+            passes -= 1
+            tried = weights + step * direction
+            new_loss, new_slope, held = evaluate(tried)
+            if new_loss <= loss + 1e-4 * step * steep or passes <= 0:
+                break
+            step /= 2
+        if not new_loss < loss:
+            break
+        moved, turned = tried - weights, new_slope - slope
+        if moved @ turned > 1e-12 * (turned @ turned):
+            pairs = [*pairs, (moved, turned)][-MEMORY:]
+        weights, loss, slope = tried, new_loss, new_slope
+        if math.isnan(held) or held < best_held:
+            best, best_held, waited = weights, held, 0
+        else:
+            waited += 1
+    return best
+
+
+def curved(slope: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The gradient times the inverse curvature that the last steps show."""
+    q, shares = slope.copy(), []
+    for moved, turned in reversed(pairs):
+        share = (moved @ q) / (moved @ turned)
+        q -= share * turned
+        shares.append(share)
+    if pairs:
+        moved, turned = pairs[-1]
+        q *= (moved @ turned) / (turned @ turned)
+    for (moved, turned), share in zip(pairs, reversed(shares)):
+        q += moved * (share - (turned @ q) / (moved @ turned))
+    return q

@@ -204,12 +204,47 @@ def test_gradient_matches_differences():
         assert g[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-6, abs=1e-6)
 
 
-def test_training_over_shards(spark, points, monkeypatch):
-    monkeypatch.setattr(recon, "SHARD_ROWS", 60)
+def test_training_finds_the_outlier(points):
     fitted = create_detector("autoencoder", epochs=8, encoding_dim=1, dropout_rate=0.0).fit(points, FEATURES)
     assert fitted.predict(points).orderBy(F.desc("anomaly_score")).first()["f1"] == 9
 
 
+@pytest.mark.parametrize("drop", [0.0, 0.2])
+def test_dense_weights_whatever_the_partitions(points, monkeypatch, drop):
+    monkeypatch.setattr(recon, "DRIVER_SUMS", 8)  # 40 tasks are summed in groups, one is not
+    fit = lambda n: create_detector("autoencoder", epochs=6, encoding_dim=1, dropout_rate=drop, validation_split=0.0).fit(points.repartition(n), FEATURES)
+    one, many = (np.array(fit(n).state["layers"]["weights"]) for n in (1, 40))
+    assert np.abs(one - recon.initial_weights(recon.layer_sizes(2, [20, 10], 1), 42)).max() > 1e-3
+    assert np.allclose(one, many, atol=1e-6)
+
+
+def test_sums_over_tasks_are_the_gradient_of_all_rows(spark):
+    sizes = recon.layer_sizes(3, [4], 2)
+    w = recon.initial_weights(sizes, 1)
+    x = np.random.default_rng(0).normal(size=(50, 3))
+    rows = spark.createDataFrame([(r.tolist(), i, i >= 40) for i, r in enumerate(x)], "z array<double>, key long, held_out boolean").repartition(7)
+    sums = recon.summed(rows, recon.partial_sums(w, sizes, [], 0.0), len(w) + 4)
+    layers = recon.unpack(w, sizes)
+    held = ((recon.forward(x[40:], layers)[-1] - x[40:]) ** 2).mean(axis=1).sum()
+    assert sums[1] == 40 and sums[3] == 10 and sums[2] == pytest.approx(held)
+    assert np.allclose(sums[4:] / 40, recon.gradient(x[:40], layers, {}))
+
+
+def test_fixed_masks_keep_a_share_of_units():
+    masks = recon.unit_masks(np.arange(-5000, 5000), [3, 20, 10, 20, 3], [0, 2], 0.2)
+    for m in masks.values():
+        assert set(np.unique(m)) == {0.0, 1.25} and abs((m > 0).mean() - 0.8) < 0.01
+        assert abs(np.corrcoef(m[:, 0], m[:, 1])[0, 1]) < 0.05
+
+
+def test_minimise_solves_a_quadratic():
+    scale, at = np.array([1.0, 10.0, 100.0]), np.array([3.0, -2.0, 1.0])
+    evaluate = lambda w: (float(scale @ (w - at) ** 2), 2 * scale * (w - at), float("nan"))
+    assert np.allclose(recon.minimise(evaluate, np.zeros(3), 60, 0.001, 5), at, atol=1e-4)
+    worse = lambda w: (float(scale @ (w - at) ** 2), 2 * scale * (w - at), float(w @ w))
+    assert np.allclose(recon.minimise(worse, np.zeros(3), 60, 0.001, 3), 0)  # validation never improves
+
+
 def test_stream_scores_equal_batch(spark, points, tmp_path):
     forest = create_detector("isolation_forest", contamination=0.05).fit(points, FEATURES)
     points.repartition(3).write.parquet(str(tmp_path / "in"))
