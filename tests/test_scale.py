@@ -109,6 +109,30 @@ def test_quantiles_by_narrowing(spark, tiny_tasks, limit):
         assert np.allclose(r["quantiles"], np.quantile(values, probabilities), rtol=1e-12)
 
 
+def test_quantiles_from_brackets_need_no_radix_passes(spark, tiny_tasks, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.lognormal(0, 4, 30_000), "b": rng.integers(0, 5, 30_000).astype(float)})
+    pdf.loc[::7, "b"] = np.nan
+    tiny_tasks(3000)
+
+    def unused(*_):
+        raise AssertionError("radix passes over the whole table")
+
+    monkeypatch.setattr(quantiles, "order_statistics", unused)
+    got = quantiles.exact_quantiles(spark.createDataFrame(pdf).repartition(6), ["a", "b"], [0.25, 0.5, 0.99])
+    for r in got.collect():
+        assert np.allclose(r["quantiles"], np.quantile(pdf[r["column"]].dropna(), [0.25, 0.5, 0.99]), rtol=1e-12)
+
+
+def test_quantiles_that_brackets_miss(spark, tiny_tasks, monkeypatch):
+    pdf = pd.DataFrame({"a": np.random.default_rng(6).normal(size=5000)})
+    tiny_tasks(300)
+    exact = quantiles.bracketed
+    monkeypatch.setattr(quantiles, "bracketed", lambda *given: exact(*given).filter("rank % 2 = 0"))
+    row = quantiles.exact_quantiles(spark.createDataFrame(pdf).repartition(6), ["a"], [0.1, 0.5, 0.9]).first()
+    assert np.allclose(row["quantiles"], np.quantile(pdf["a"], [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
 def test_numbering_over_parts(spark, tiny_tasks):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     tiny_tasks(100)
