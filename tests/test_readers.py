@@ -1,9 +1,12 @@
 """Dates and record tags as files bring them."""
 
+import re
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from barloom.functions import columns
 from barloom.functions.columns import to_timestamp
 from barloom.sources import readers
 from barloom.sources.bars import to_bars
@@ -120,3 +123,12 @@ def test_revisions_of_an_empty_stream(spark, tmp_path):
     spark.sql("select timestamp'2025-01-01' as ts, 1d as p, 'a' as s where false").write.parquet(str(tmp_path / "in"))
     stream = read_parquet_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     assert latest_bars(stream_revisions(stream, "ts", "p", "s", "1 month"), "none").isEmpty()
+
+
+def test_dates_are_parsed_with_constant_formats(spark):
+    """A format computed per row would have its parser made anew in every row."""
+    df = spark.createDataFrame([("03/04/2024",), ("Sept 5, 2024 1:02 PM",), ("20240102",), ("soon",)], "d string")
+    read = df.select(columns.to_timestamp(F.col("d")).alias("t"))
+    assert [str(r["t"]) for r in read.collect()] == ["2024-03-04 00:00:00", "2024-09-05 13:02:00", "2024-01-02 00:00:00", "None"]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert set(columns.DATE_FORMATS) <= set(re.findall(r"gettimestamp\([^,]*, ([^()]*?), TimestampType", plan))
