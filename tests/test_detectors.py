@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.detectors import recon
+from barloom.detectors import iforest, recon
 from barloom.detectors.base import standardise
 from barloom.detectors.factory import create_detector, load_detector
 from barloom.operators import neighbours
@@ -280,3 +280,21 @@ def test_every_tree_draws_from_all_rows(spark):
     assert 45_000 < total < 58_000 and 2 <= cluster <= 25 and distinct > 40_000
     per_tree = drawn.groupBy("tree").count().agg(F.min("count"), F.count("*")).first()
     assert per_tree[0] >= 256 and per_tree[1] == 100
+
+
+def test_forest_walks_no_further_than_its_trees_and_ends_where_they_end():
+    rng = np.random.default_rng(4)
+    trees = [iforest.grow(rng.normal(size=(n, 3)), rng, 6) for n in (1, 2, 40, 64)]
+    columns = ["feature", "threshold", "left", "right", "path"]
+    nodes = pd.concat([pd.DataFrame(t, columns=columns).assign(tree=i, node=range(len(t))) for i, t in enumerate(trees)])
+    x = np.vstack([rng.normal(size=(200, 3)), [[np.inf] * 3, [-np.inf] * 3]])
+
+    def path(tree, row):
+        at = tree[0]
+        while at[0] >= 0:
+            at = tree[at[3] if row[at[0]] > at[1] else at[2]]
+        return at[4]
+
+    forest = iforest.Forest(nodes)
+    assert forest.steps[:2] == [0, 1] and max(forest.steps) <= 6
+    assert np.allclose(forest.mean_path(x), [np.mean([path(t, row) for t in trees]) for row in x], rtol=1e-15)
