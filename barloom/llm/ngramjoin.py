@@ -36,6 +36,8 @@ FREQUENT = 16
 TOLD = 32
 #: Classes that survive the first step are marked in a bitmap of so many bits (8 MB); a chance mark costs time only.
 MARK_BITS = 1 << 26
+#: Documents whose sets a task holds at a time.
+SLICE = 256
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -63,14 +65,14 @@ def _prefix(n: int, percent: int) -> int:
 
 def _sets(words: int, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list]]:
     lookup = WordTable(_word_hashes)
-    for rows in batches:
-        sets: list[np.ndarray] = []
-        texts = list(rows["text"])
-        for start in range(0, len(texts), 256):
-            for at in lookup.look_up([byte_words(t if isinstance(t, str) else "") for t in texts[start : start + 256]]):
-                sets.append(_shingle_set(lookup.rows[at, 0] if len(at) else np.empty(0, np.uint64), words))
-        keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        yield rows, sets, keys
+    for batch in batches:
+        # a slice at a time, so that a task never holds the sets of a whole batch of long texts
+        for first in range(0, len(batch), SLICE):
+            rows = batch.iloc[first : first + SLICE]
+            texts = [byte_words(t if isinstance(t, str) else "") for t in rows["text"]]
+            sets = [_shingle_set(lookup.rows[at, 0] if len(at) else np.empty(0, np.uint64), words) for at in lookup.look_up(texts)]
+            keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield rows, sets, keys
 
 
 def _first_step(words: int, percent: int):

@@ -4,6 +4,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,11 @@ def test_rows_without_an_id_hide_no_link(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(docs).collect()}
         assert got == {None: None, 5: 5, 6: 5, 7: 5}
+
+
+def test_sets_are_made_a_slice_at_a_time():
+    rows = pd.DataFrame({"doc_id": range(1000), "text": [f"w{i} a b c d e" if i % 9 else None for i in range(1000)]})
+    got = list(ngramjoin._sets(4, iter([rows, rows[:0], rows[:10]])))
+    assert max(len(part) for part, _, _ in got) <= ngramjoin.SLICE
+    assert [i for part, _, _ in got for i in part["doc_id"]] == [*range(1000), *range(10)]
+    assert all((key is None) == (not len(s)) for _, sets, keys in got for s, key in zip(sets, keys, strict=True))
