@@ -161,6 +161,32 @@ def test_nearest_equals_sort(spark, monkeypatch):
         assert [n["id"] for n in r["near"]] == expected.tolist()
 
 
+def test_exact_distances_of_few_pairs(monkeypatch):
+    """Rough distances decide which pairs are compared exactly, also where numbers leave single precision."""
+    rng = np.random.default_rng(3)
+    taken, exact = [], neighbours.squared_distances
+    monkeypatch.setattr(neighbours, "squared_distances", lambda *x: taken.append(exact(*x)) or taken[-1])
+    for scale, few in ((1.0, True), (1e25, False), (1e-30, False)):
+        x = rng.normal(size=(300, 64)) * scale
+        rows = pd.DataFrame({"id": np.arange(300), "x": list(x), "w": 1})
+        taken.clear()
+        got = neighbours.nearest(rows, rows, 5, True)
+        if few:
+            assert sum(t.size for t in taken) < 300 * 300 // 10
+        d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(d2, np.inf)
+        assert [[n["id"] for n in one] for one in got] == np.argsort(d2, axis=1)[:, :5].tolist()
+
+
+def test_visits_of_one_bough_travel_once():
+    """A query whose radius reaches all 16 leaves is one row for each of two boughs, not one for each leaf."""
+    leaves, x = 16, np.zeros((4, 2))
+    boxes = pd.DataFrame({"leaf": range(leaves), "low": [[-1.0, -1.0]] * leaves, "high": [[1.0, 1.0]] * leaves})
+    find = neighbours.box_finder(*neighbours.nested(boxes, leaves, 2), leaves, 1, np.inf)
+    batch = pd.DataFrame({"id": range(4), "x": list(x), "home": [0, 3, 8, 15], "near": [[{"d2": 1.0}]] * 4})
+    assert sum(len(out) for out in find([batch])) == 4 * 2
+
+
 def test_novel_points(spark, points):
     lof = create_detector("lof", n_neighbors=10).fit(points, FEATURES)
     new = spark.createDataFrame([(0.5, 0.5), (30.0, -30.0)], "f1 double, f2 double")
