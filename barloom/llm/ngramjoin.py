@@ -34,6 +34,9 @@ WORDS, PERCENT = 4, 85
 FREQUENT = 16
 #: Of the entries before one, a class carries the first few: a pair that shares one of them is compared there.
 TOLD = 32
+#: One class in so many shows which tokens are hot: those of one in ``HOT_PART`` of its classes, so that there are at most
+#: ``HOT_PART`` times as many as a class has on average.
+HOT_SAMPLE, HOT_PART = 64, 256
 #: Classes that survive the first step are marked in a bitmap of so many bits (8 MB); a chance mark costs time only.
 MARK_BITS = 1 << 26
 #: Documents whose sets a task holds at a time.
@@ -118,6 +121,22 @@ def _bitmap(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _shared_heads(heads: DataFrame) -> DataFrame:
+    """class and k: how many of its tokens other classes have, too; ``heads`` holds (class, token).
+
+    One exchange of two numbers a row finds the shared tokens and their rows. Tokens that a sample of the classes shows to
+    be in many are shared for sure; as few as they are, they are broadcast and their rows not exchanged.
+    """
+    sample = heads.where(F.pmod(F.xxhash64(F.lit("hot"), "class"), F.lit(HOT_SAMPLE)) == 0)
+    size = sample.agg(F.countDistinct("class")).first()[0]
+    hot = cut_lineage(sample.groupBy("token").agg(F.countDistinct("class").alias("k")).where(F.col("k") >= max(4, size // HOT_PART)).select("token"))
+    met = heads.join(F.broadcast(hot), "token", "left_semi")
+    same = Window.partitionBy("token")
+    dealt = heads.join(F.broadcast(hot), "token", "left_anti").withColumn("other", F.min("class").over(same) != F.max("class").over(same))
+    shared = met.unionByName(dealt.where("other").drop("other"))
+    return shared.groupBy("class").agg(F.countDistinct("token").alias("k"))
+
+
 def _enough(n1, n2, percent: int):
     """Tokens that sets of n1 and n2 must share to be similar."""
     return F.ceil((n1 + n2) * percent / F.lit(100 + percent))
@@ -188,11 +207,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     source = docs.select("doc_id", "text")
     schema = "doc_id long, n int, key binary, least int, head array<long>"
     seen = cut_lineage(source.mapInPandas(_first_step(words, percent), schema).withColumn("class", F.xxhash64("key")))
-    heads = seen.where("key is not null and doc_id is not null").select("key", "class", "least", F.explode("head").alias("token"))
-    # counted within tasks first, so that a frequent token is a few rows when it meets
-    often = heads.groupBy("token").agg((F.min("class") != F.max("class")).alias("met")).where("met").select("token")
-    counted = heads.join(often, "token", "left_semi").groupBy("key", "least").agg(F.countDistinct("token").alias("k"))
-    chosen = cut_lineage(counted.where("k >= least").select("key"))
+    named = seen.where("key is not null and doc_id is not null")
+    counted = _shared_heads(named.select("class", F.explode("head").alias("token")).where("token is not null"))
+    # a class may be told by several tasks; its rows are equal
+    told = named.where("size(head) > 0").select("class", "key", "least").distinct()
+    chosen = cut_lineage(counted.join(told, "class").where("k >= least").select("key"))
     marks = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen))
     found = source.where("doc_id is not null").mapInPandas(_marked_sets(words, marks), "key binary, tokens array<long>")
     # one set per class, named by the hash of its key

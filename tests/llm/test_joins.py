@@ -283,3 +283,20 @@ def test_sets_are_made_a_slice_at_a_time():
     assert max(len(part) for part, _, _ in got) <= ngramjoin.SLICE
     assert [i for part, _, _ in got for i in part["doc_id"]] == [*range(1000), *range(10)]
     assert all((key is None) == (not len(s)) for _, sets, keys in got for s, key in zip(sets, keys, strict=True))
+
+
+@pytest.mark.parametrize("sample,part", [(64, 256), (1, 4)])
+def test_shared_heads_with_hot_tokens(spark, monkeypatch, sample, part):
+    """Tokens that others have, by brute force, where hot ones are broadcast; rows are exchanged by token once."""
+    monkeypatch.setattr(ngramjoin, "HOT_SAMPLE", sample)
+    monkeypatch.setattr(ngramjoin, "HOT_PART", part)
+    rows = [(c, t) for c in range(40) for t in {0, c % 3, 10 + c % 17, 1000 + c}] + [(7, 0), (7, 0)]
+    heads = spark.createDataFrame([*rows, (None, 5)], "class long, token long").where("class is not null")
+    got = {r["class"]: r["k"] for r in ngramjoin._shared_heads(heads).collect()}
+    classes = {}
+    for c, t in rows:
+        classes.setdefault(t, set()).add(c)
+    want = {c: len({t for d, t in rows if d == c and len(classes[t]) > 1}) for c in range(40)}
+    assert got == want
+    plan = ngramjoin._shared_heads(heads)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(token#") == 1
