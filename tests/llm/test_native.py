@@ -18,6 +18,14 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_plan_of_tree_search_holds_cuts_once(spark):
+    """The driver plans thousands of cuts as one literal: not one per cut, nor one list per level."""
+    cuts = list(range(10**9, 10**9 + 2000))
+    plan = tree_search(spark.range(3), "id", cuts, "n")._jdf.queryExecution()
+    for stage in (plan.analyzed().toString(), plan.optimizedPlan().toString()):
+        assert stage.count(str(cuts[700])) <= 1 and stage.count("Project") == 1
+
+
 def test_tree_search_counts_cuts(spark):
     cuts = [-5, 0, 3, 3, 10]
     rows = tree_search(spark.createDataFrame([(x,) for x in range(-8, 13)], "k long"), "k", sorted(set(cuts)), "n").collect()
