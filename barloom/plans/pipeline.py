@@ -17,7 +17,11 @@ from barloom.sources.readers import load_bars
 
 
 def process(df: DataFrame, method: str = "ffill", engineer_features: bool = True) -> DataFrame:
-    """Canonical bars to a feature table. One pass first says how the series are to be laid out."""
+    """Canonical bars to a feature table. One pass first says how the series are to be laid out.
+
+    The bars are stored for it, so that what they are made of is read and aggregated once.
+    """
+    df = cut_lineage(df)
     volume = F.count("Volume") if "Volume" in df.columns else F.lit(0)
     per_symbol = df.groupBy("Symbol").agg(F.count(F.lit(1)).alias("rows"), volume.alias("volumes"))
     longest, volumes = per_symbol.agg(F.max("rows"), F.sum("volumes")).first()

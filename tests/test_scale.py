@@ -204,3 +204,9 @@ def test_copies_are_limited_before_the_shuffle(spark, sf_dir):
 def test_no_window_without_partition(spark, sf_dir):
     text = plan(process(catalog.dirty(spark, sf_dir)))
     assert "SinglePartition" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_process_reads_the_source_once(spark, sf_dir):
+    """Bars are stored before their series are counted: nothing after it aggregates the source again."""
+    made = process(catalog.wide(spark, sf_dir))
+    assert "FileScan" not in made._jdf.queryExecution().executedPlan().toString()
