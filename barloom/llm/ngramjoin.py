@@ -21,6 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,20 +122,44 @@ def _bitmap(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _split_heads(hot):
+    """For (class, head): (class, token, 0) for every token that isn't hot, and (class, class, n) for n hot ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(np.frombuffer(hot.value, dtype=np.int64))
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(first, SLICE)
+                classes, heads = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1)
+                row = np.repeat(np.arange(len(classes)), heads.value_lengths().to_numpy(zero_copy_only=False))
+                tokens = heads.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                met = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
+                n = np.bincount(row[met], minlength=len(classes))
+                own = classes[n > 0]
+                columns = (np.concatenate([classes[row[~met]], own]), np.concatenate([tokens[~met], own]), np.concatenate([np.zeros(int((~met).sum()), np.int64), n[n > 0]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class", "token", "hot"])
+
+    return run
+
+
 def _shared_heads(heads: DataFrame) -> DataFrame:
-    """class and k: how many of its tokens other classes have, too; ``heads`` holds (class, token).
+    """class and k: how many of its tokens other classes have, too.
 
-    One exchange of two numbers a row finds the shared tokens and their rows. Tokens that a sample of the classes shows to
-    be in many are shared for sure; as few as they are, they are broadcast and their rows not exchanged.
+    ``heads`` holds (class, head) with all tokens of a class in every row of it, or (class, token). One exchange finds the
+    shared tokens and their rows. Tokens that a sample of the classes shows to be in many are shared for sure; as few as
+    they are, every task knows them and counts those of a class in its row, so that they make no rows of their own.
     """
-    sample = heads.where(F.pmod(F.xxhash64(F.lit("hot"), "class"), F.lit(HOT_SAMPLE)) == 0)
+    if "head" not in heads.columns:
+        heads = heads.groupBy("class").agg(F.collect_set("token").alias("head"))
+    sample = heads.where(F.pmod(F.xxhash64(F.lit("hot"), "class"), F.lit(HOT_SAMPLE)) == 0).select("class", F.explode("head").alias("token"))
     size = sample.agg(F.countDistinct("class")).first()[0]
-    hot = cut_lineage(sample.groupBy("token").agg(F.countDistinct("class").alias("k")).where(F.col("k") >= max(4, size // HOT_PART)).select("token"))
-    met = heads.join(F.broadcast(hot), "token", "left_semi")
-    same = Window.partitionBy("token")
-    dealt = heads.join(F.broadcast(hot), "token", "left_anti").withColumn("other", F.min("class").over(same) != F.max("class").over(same))
-    shared = met.unionByName(dealt.where("other").drop("other"))
-    return shared.groupBy("class").agg(F.countDistinct("token").alias("k"))
+    hot = sample.groupBy("token").agg(F.countDistinct("class").alias("k")).where(F.col("k") >= max(4, size // HOT_PART)).select("token")
+    known = heads.sparkSession.sparkContext.broadcast(hot.toPandas()["token"].to_numpy(np.int64).tobytes())
+    split = heads.select("class", "head").mapInArrow(_split_heads(known), "class long, token long, hot long").withColumn("met", F.col("hot") > 0)
+    same = Window.partitionBy("token", "met")
+    shared = split.withColumn("other", F.col("met") | (F.min("class").over(same) != F.max("class").over(same))).where("other")
+    return shared.groupBy("class").agg((F.countDistinct(F.when(~F.col("met"), F.col("token"))) + F.max("hot")).alias("k"))
 
 
 def _enough(n1, n2, percent: int):
@@ -208,7 +233,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     schema = "doc_id long, n int, key binary, least int, head array<long>"
     seen = cut_lineage(source.mapInPandas(_first_step(words, percent), schema).withColumn("class", F.xxhash64("key")))
     named = seen.where("key is not null and doc_id is not null")
-    counted = _shared_heads(named.select("class", F.explode("head").alias("token")).where("token is not null"))
+    counted = _shared_heads(named.where("size(head) > 0").select("class", "head"))
     # a class may be told by several tasks; its rows are equal
     told = named.where("size(head) > 0").select("class", "key", "least").distinct()
     chosen = cut_lineage(counted.join(told, "class").where("k >= least").select("key"))

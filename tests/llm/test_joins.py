@@ -300,3 +300,18 @@ def test_shared_heads_with_hot_tokens(spark, monkeypatch, sample, part):
     assert got == want
     plan = ngramjoin._shared_heads(heads)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(token#") == 1
+
+
+@pytest.mark.parametrize("size", [100, 400])
+def test_hot_tokens_make_no_rows_of_their_own(spark, monkeypatch, size):
+    """A group of near copies: rows beside its shared tokens grow with the classes alone, and every token is counted."""
+    monkeypatch.setattr(ngramjoin, "HOT_SAMPLE", 1)
+    rows = [(c, [*range(50), 1000 + c, 5000 + c // 2]) for c in range(size)]
+    heads = spark.createDataFrame([*rows, rows[0], (-1, [9_000_000])], "class long, head array<long>")
+    counted = ngramjoin._shared_heads(heads)
+    assert {r["class"]: r["k"] for r in counted.collect()} == {c: 51 for c in range(size)}
+    assert "LeftSemi" not in counted._jdf.queryExecution().executedPlan().toString()
+    hot = spark.sparkContext.broadcast(np.arange(50).tobytes())
+    assert heads.mapInArrow(ngramjoin._split_heads(hot), "class long, token long, hot long").count() == 3 * (size + 1) + 1
+    none = spark.sparkContext.broadcast(b"")
+    assert heads.mapInArrow(ngramjoin._split_heads(none), "class long, token long, hot long").where("hot = 0").count() == 52 * (size + 1) + 1
