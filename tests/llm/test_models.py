@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +266,33 @@ def test_head_words_come_by_count(spark):
     counts = spark.createDataFrame([(" ", 1), ("a", 100), ("b", 50), ("c", 50), *[(f"w{i}", 1) for i in range(30)]], "word string, n long")
     assert lmscore._head_words(counts, 10) == [(" ", 1), ("a", 100), ("b", 50), ("c", 50)]
     assert len(lmscore._head_words(counts, 100)) == 34 and lmscore._head_words(counts, 2) == [(" ", 1), ("a", 100)]
+
+
+def test_texts_are_read_once_for_training_after_their_words(spark, monkeypatch):
+    """Counting tells the positions that the gradient learns from, whole and in order; hence it looks no word up again."""
+    texts = ["a b c a zz", None, "", "b \u65e5\u672c a", "c " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = lmscore._vocabulary(lmscore.count_words(docs))
+    monkeypatch.setattr(lmscore, "BATCH", 8)
+    rows = pd.concat(lmscore._counter(v)(iter([docs.toPandas()])))
+    packed = rows.loc[rows["kind"] == lmscore.POSITIONS, "sums"]
+    assert len(packed) > 1
+    got = [lmscore._unpacked(x) for x in packed]
+    want = lmscore._places(v.head)([w for t in texts for w in [*byte_words(t), b" "]])
+    assert (np.concatenate([at[:, 1:] for at, _ in got]) == want[:, 1:]).all()
+    sizes = [n for at, firsts in got for n in np.diff(np.append(firsts, len(at)))]
+    assert sizes == [len(byte_words(t)) + 1 for t in texts]
+    moved = pd.concat(lmscore._gradient(lmscore._initial(v))(iter([pd.DataFrame({"sums": packed})])))
+    assert set(moved["kind"]) == {"class", "slot"}
+
+
+def test_words_outside_the_table_are_told_once_a_text(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "HEAD_WORDS", 1)
+    docs = spark.createDataFrame([(1, "x y x x"), (2, None), (3, "y")], "doc_id long, text string")
+    v = lmscore._vocabulary(lmscore.count_words(docs))
+    got = next(lmscore._scorer(v, lmscore._initial(v))(iter([docs.toPandas()])))
+    assert [dict(zip(r, t, strict=True)) for r, t in zip(got["rest"], got["times"], strict=True)] == [{"x": 3, "y": 1}, {}, {"y": 1}]
+    out = {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"]) for r in lmscore.score_documents(docs, docs).collect()}
+    n = 8 + 3 + 1  # tokens with ends, distinct ones, and one
+    want = {1: (5, 5, 3 * math.log10(4) + math.log10(3) + math.log10(4) - 5 * math.log10(n)), 2: (1, 1, math.log10(4 / n)), 3: (2, 2, math.log10(3 / n) + math.log10(4 / n))}
+    assert all(out[i][:2] == want[i][:2] and out[i][2] == pytest.approx(want[i][2]) for i in want)
